@@ -78,7 +78,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     def kind(k: int) -> Column:
         return F.transform(F.filter(f"_{k}", good[k]), lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), value[k](x["v"]).alias("v")))
 
-    return d.withColumn("_base", F.concat(*map(kind, range(4)))).drop("_0", "_1", "_2", "_3")
+    # Exploding an array of one keeps later filters on _base from being pushed below, where they would search the texts again.
+    return d.withColumn("_base", F.explode(F.array(F.concat(*map(kind, range(4)))))).drop("_0", "_1", "_2", "_3")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

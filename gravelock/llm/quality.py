@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravelock.llm.common import SPACE
+from gravelock.llm.common import SPACE, stored
 
 BLANKS = " \t\n\x0b\f\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -116,7 +116,9 @@ def cleaned(docs: DataFrame, limit: int = LIMIT, least_words: int = LEAST_WORDS,
     to remove meet the list of those lines; the texts are shuffled once.
     """
     d = row_key(docs)
-    v = verdicts(told_apart(docs), limit, least_words, least_share).where("kept").select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2")).distinct()
+    # Stored before it is filtered: a pushed-down filter would work out the counts' array expressions anew for each element.
+    v = stored(verdicts(told_apart(docs), limit, least_words, least_share).select("_id", "_row", "kept", "n_removed"), "verdicts")
+    v = v.where("kept").select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2")).distinct()
     hits = frequent_hits(told_apart(docs), limit).groupBy("_id", "_row").agg(F.collect_set("_key").alias("_hits"))
     v = v.join(hits, v["_id2"].eqNullSafe(hits["_id"]) & (v["_row2"] == hits["_row"]), "left").select("_id2", "_row2", "_hits")
     d = d.join(v, d["_id"].eqNullSafe(v["_id2"]) & (d["_row"] == v["_row2"]))
