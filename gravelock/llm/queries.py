@@ -10,6 +10,7 @@ from gravelock.llm import oracles
 from gravelock.llm.common import documents
 from gravelock.llm.fingerprints import fingerprints
 from gravelock.llm.mixing import mix
+from gravelock.llm.ngram_lm import lm_scores
 from gravelock.llm.packing import pack
 from gravelock.llm.pii import personal_data
 from gravelock.llm.quality import quality
@@ -28,6 +29,7 @@ def word_bpe() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": lambda spark, sf_dir: pack(documents(spark, sf_dir), word_bpe()),
     "op2_fingerprints": lambda spark, sf_dir: fingerprints(documents(spark, sf_dir)),
+    "op3_lm_scores": lambda spark, sf_dir: lm_scores(documents(spark, sf_dir)),
     "op4_quality": lambda spark, sf_dir: quality(documents(spark, sf_dir)),
     "op5_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
     "op6_suffix_dedup": lambda spark, sf_dir: suffix_dedup(documents(spark, sf_dir)),
