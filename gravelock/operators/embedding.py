@@ -10,6 +10,8 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravelock.shared import written
+
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sparse matrix product by join and sum."""
@@ -38,12 +40,12 @@ def adamic_adar(edges: DataFrame) -> DataFrame:
 def series(base: DataFrame, step: DataFrame, max_terms: int = 200, tol: float = 0.0) -> DataFrame:
     """base + base step + base step^2 + ..., until a term is empty (always so without cycles) or all at most tol.
 
-    One checkpointed job for each term.
+    One job and table for each term.
     """
-    term = base.checkpoint()
+    term = written(base)
     terms = [term]
     for _ in range(max_terms):
-        term = product(term, step).where(F.abs("value") > tol).checkpoint()
+        term = written(product(term, step).where(F.abs("value") > tol))
         if not term.take(1):
             break
         terms.append(term)
@@ -52,7 +54,7 @@ def series(base: DataFrame, step: DataFrame, max_terms: int = 200, tol: float =
     out = terms[0]
     for t in terms[1:]:
         out = out.union(t)
-    return out.groupBy("i", "j").agg(F.sum("value").alias("value")).checkpoint()
+    return out.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def katz(edges: DataFrame, beta: float = 0.1, tol: float = 0.0) -> DataFrame:

@@ -15,24 +15,13 @@ from gravelock.operators import embedding as emb
 from gravelock.operators import layout, ranking
 from gravelock.operators import state as st
 from gravelock.plans import views as v
+from gravelock.shared import shared_checkpoints
 from gravelock.sources.graphs import ith
 
 #: Iterations of the iterative scores, fixed so that SQL can do the same.
 ROUNDS = 50
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """DataFrame.checkpoint() needs a folder; the cluster's, or one of our own where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            import tempfile
-
-            found = "file://" + tempfile.mkdtemp(prefix="gravelock-")
-        sc.setCheckpointDir(found)
-
-
 def csv(array: str) -> F.Column:
     return F.array_join(F.col(array).cast("array<string>"), ",")
 
