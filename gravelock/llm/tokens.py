@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 
 from gravelock.llm.common import batches, doc_text
 
-#: Compiled transitions kept in a Python worker; when full, the table starts anew (results do not change).
-MAX_COMPILED = 1_500_000
+#: Compiled transitions, and word pieces, kept in a Python worker: in two generations, of which the older goes when
+#: the younger is full, so that frequent words stay (results do not change).
+MAX_COMPILED, MAX_PIECES = 350_000, 250_000
 CHUNK_BYTES = 1 << 16
 #: Beyond this, a word is tokenized without being kept.
 MAX_WORD = 256
@@ -57,21 +58,27 @@ class WordTokens(dict):
         self.split = regex.compile(SPLIT).findall
         self.letters = byte_alphabet()
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def piece(self, p: str) -> bytes:
         ids = self.pieces.get(p)
         if ids is None:
-            letters = self.letters
-            shown = p if p.isascii() else "".join([letters[b] for b in p.encode()])
-            found = [t.id for t in self.model.tokenize(shown)]
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(self.pieces) >= MAX_COMPILED:
-                self.pieces.clear()
+            ids = self.old_pieces.get(p)
+            if ids is None:
+                letters = self.letters
+                shown = p if p.isascii() else "".join([letters[b] for b in p.encode()])
+                found = [t.id for t in self.model.tokenize(shown)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.pieces) >= MAX_PIECES:
+                self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[p] = ids
         return ids
 
     def compiled(self, word: bytes) -> bytes:
         s = word.decode()
+        if s.isalpha() and s.isascii() and len(s) <= MAX_WORD:
+            return self.piece(s.lower())
         # Below U+0180 nothing composes and lower-casing is one to one, but for U+0130; U+0080 to U+00A0 has white space.
         plain = s.isascii() or (max(s) < "ƀ" and not regex.search("[\u0080- İ]", s))
         if not plain or len(s) > MAX_WORD or not s.isprintable() or any(t[0] in s and t in s for t in self.specials):
@@ -80,9 +87,12 @@ class WordTokens(dict):
         return b"".join(map(self.piece, self.split(s.lower())))
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.compiled(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.compiled(word)
         if len(word) <= MAX_WORD:
             if len(self) >= MAX_COMPILED:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
