@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravelock.llm.common import batches, doc_text, stored
+from gravelock.llm.copies import copy_links
 from gravelock.llm.graphs import components
 
 WORDS, SEED, MAX_BITS, GROUPS, DENSE = 3, 42, 2, 6, 64
-BLOCK = 1 << 16
+BLOCK, PART = 1 << 16, 256
 
 
 def shingle_hashes(text: str, k: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -129,67 +129,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near_copies: words of a shingle, least Jaccard similarity, hashes in a sketch, mean words in a block, least share of blocks.
-COPY_WORDS, SIMILARITY, SKETCH, BLOCK_WORDS, SHARE = 5, 0.8, 128, 16, 0.25
-FEATURES = "doc_id long, text_key long, fp long, sketch array<long>, blocks array<long>"
-
-
-def block_hashes(text: str) -> list[int]:
-    """Different hashes of the blocks of words that end at words chosen by their own hash, so that an edit changes its block only."""
-    words = text.encode().lower().split()
-    ends = [i + 1 for i, w in enumerate(words) if not crc32(w + words[i - 1]) % BLOCK_WORDS]
-    cuts = [0, *ends, *([len(words)] if not ends or ends[-1] < len(words) else [])]
-    return list(dict.fromkeys(signed(xxhash.xxh64_intdigest(b" ".join(words[a:b]), SEED)) for a, b in zip(cuts, cuts[1:], strict=False)))
+#: Words of a shingle in near_copies.
+COPY_WORDS = 5
+FEATURES = "doc_id long, text_key long, fp long, shingles array<long>"
 
 
 def features(docs: DataFrame) -> DataFrame:
+    """For each row a key of its words, its fingerprint, and its different shingles in unsigned order."""
+
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _, texts in batches(found):
-            rows = []
-            for t in texts:
-                h = shingle_hashes(t, COPY_WORDS)
-                least = np.unique(h)[:SKETCH]
-                rows.append((signed(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), 1)), signed(simhash(h)), least.view(np.int64).tolist(), block_hashes(t)))
-            key, fp, sketch, blocks = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "sketch", "blocks"])
+        for b, ids, texts in batches(found):
+            for at in range(0, len(ids), PART):
+                rows = []
+                for t in texts[at : at + PART]:
+                    h = shingle_hashes(t, COPY_WORDS)
+                    rows.append((signed(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), 1)), signed(simhash(h)), np.unique(h).view(np.int64)))
+                key, fp, shingles = zip(*rows, strict=True)
+                ends = np.cumsum([0, *map(len, shingles)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shingles)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, PART), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), lists], ["doc_id", "text_key", "fp", "shingles"])
 
     return doc_text(docs).mapInArrow(run, FEATURES)
 
 
-def alike(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two shingle sets by their least hashes; exact for sets of up to SKETCH."""
-    flip = lambda s: F.transform(s, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # noqa: E731  unsigned order
-    both = F.slice(F.sort_array(F.array_union(flip(a), flip(b))), 1, SKETCH)
-    common = F.array_intersect(both, F.array_intersect(flip(a), flip(b)))
-    return F.size(common) / F.size(both)
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id for each row of docs: groups of near copies, for filtering.
 
     Links: five-word fingerprints MAX_BITS apart (the grid join above), and texts whose sets of five-word
-    shingles have a Jaccard similarity of SIMILARITY or more. A few edits scattered over a text move some ten
-    bits, so the second kind is found by blocks of words: in each block's group, every text is held against
-    the text whose blocks are the most common ones (of copies with edits of their own, the one they come
-    from), so the work is in proportion to the blocks. Odd cases are as in near_groups.
+    shingles have a Jaccard similarity of 0.8 or more (`copies`): a few edits scattered over a text move some
+    ten bits, so fingerprints alone don't find them. Odd cases are as in near_groups.
     """
     found = stored(features(docs), "features")
-    texts = stored(found.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("blocks").alias("blocks")), "texts")
-    of = texts.select("text_key", F.size("blocks").alias("n"), F.explode("blocks").alias("block"))
-    many = stored(of.groupBy("block").agg(F.count("*").alias("df")).where("df > 1"), "blocks")
-    shared = stored(of.join(many, "block"), "shared_blocks")
-    weight = stored(shared.groupBy("text_key", "n").agg((F.sum("df") / F.col("n")).alias("weight")).drop("n"), "weights")
-    shared = stored(shared.join(weight, "text_key"), "weighted")
-    centre = stored(shared.groupBy("block").agg(F.max(F.struct("weight", F.col("text_key").alias("key")))["key"].alias("centre")), "centres")
-    pairs = shared.join(centre, "block").where("text_key <> centre").groupBy("text_key", "n", "centre").agg(F.count("*").alias("m")).where(F.col("m") >= SHARE * F.col("n"))
-    pairs = stored(pairs.select("text_key", "centre"), "pairs")
-    a = texts.select("text_key", F.col("sketch").alias("a"))
-    b = texts.select(F.col("text_key").alias("centre"), F.col("sketch").alias("b"))
-    copies = pairs.join(a, "text_key").join(b, "centre").where(alike(F.col("a"), F.col("b")) >= SIMILARITY).select(F.col("text_key").alias("u"), F.col("centre").alias("v"))
+    texts = stored(found.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
     fps = stored(texts.groupBy("fp").agg(F.min("text_key").alias("key")), "different")
     same = texts.join(fps, "fp").select(F.col("text_key").alias("u"), F.col("key").alias("v"))
     close = links(fps).join(fps.select(F.col("fp").alias("u"), F.col("key").alias("ku")), "u").join(fps.select(F.col("fp").alias("v"), F.col("key").alias("kv")), "v").select("ku", "kv")
-    rooted = components(copies.union(same).union(close))
+    known = stored(same.where("u <> v").union(close), "known")
+    rooted = components(copy_links(found.select("text_key", "shingles"), known))
     named = stored(texts.join(rooted, texts["text_key"] == rooted["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "rooted")
     least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "named")
     named = stored(named.join(least, "root").select("text_key", "component_id"), "classes")

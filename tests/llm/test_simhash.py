@@ -124,3 +124,67 @@ def test_near_copies_and_what_stays(spark):
     assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == sorted(first.values())
     assert deduplicated(frame(spark, [])).count() == 0
     assert sorted((r.doc_id for r in deduplicated(frame(spark, AWKWARD)).collect()), key=str) == sorted([-9, 1, 2, 6, 7, 8, None], key=str)
+
+
+def shingles(text):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def copy_groups(rows):
+    """Components of the rows by Jaccard similarity of 0.8 or more, and by fingerprints two bits apart."""
+    sets, fps = [shingles(t) for _, t in rows], [brute_fp(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 9 * common >= 4 * (len(sets[i]) + len(sets[j])) or bin(fps[i] ^ fps[j]).count("1") <= 2:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def edited(rng, words, at):
+    out = list(words)
+    for i in at:
+        out[i] = f"e{rng.randrange(10**6)}"
+    return out
+
+
+def test_near_copies_find_every_pair(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    rows = []
+    add = lambda words: rows.append((len(rows), " ".join(words)))
+    # A passage that many texts share, and pairs of copies whose other words are few.
+    passage = text(160)
+    for _ in range(40):
+        add(passage + text(rng.randrange(5, 200)))
+    for _ in range(12):
+        own = text(48)
+        add(passage + own)
+        add(passage + edited(rng, own, [rng.randrange(10, 40)]))
+    # Short texts with one edit, and copies of a text that is itself far from each.
+    for _ in range(40):
+        base = text(64)
+        add(base)
+        add(edited(rng, base, [rng.randrange(6, 58)]))
+    for _ in range(20):
+        first = text(150)
+        middle = edited(rng, first, range(3, 150, 30))
+        add(first)
+        add(edited(rng, middle, [70]))
+        add(edited(rng, middle, [100]))
+    # A large group, none a copy of one centre only.
+    chain = text(120)
+    for i in range(40):
+        chain = edited(rng, chain, [i * 7 % 120])
+        add(chain)
+    got = dict(map(tuple, near_copies(frame(spark, rows)).collect()))
+    assert got == copy_groups(rows)
