@@ -188,3 +188,15 @@ def test_near_copies_find_every_pair(spark):
         add(chain)
     got = dict(map(tuple, near_copies(frame(spark, rows)).collect()))
     assert got == copy_groups(rows)
+
+
+def test_near_copies_take_the_exact_similarity(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(42):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(1000)]
+        # 5 x 22 of 996 shingles changed is a similarity just over 0.8.
+        for t in (words, edited(rng, words, rng.sample(range(5, 990, 6), 19 + i % 7))):
+            rows.append((len(rows), " ".join(t)))
+    got = dict(map(tuple, near_copies(frame(spark, rows)).collect()))
+    assert got == copy_groups(rows)
