@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, white space runs to one blank) and hashed with their host (`source`). For
 each, the distinct documents of the host are counted; copies must not make their own text look like
-boilerplate, so documents with the same least and greatest line digest count as one. Lines in more than
+boilerplate, so documents with the same normalised lines in the same order count as one. Lines in more than
 `limit` documents are removed, and a document left with under `least_words` words or `least_share` of its
 words is rejected.
 """
@@ -63,13 +63,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """_id, _row, _doc (the identity that copies share), _key (host and line), _n (words): a row for each line with a word."""
+    """_id, _row, _doc (the identity that copies share), _key (host and line), _n (words): a row for each line with a word; _at is its place."""
     lines = F.filter(F.transform(F.split("_text", "\n"), normal_line), lambda x: x != "")
     d = docs.select("_id", "_row", F.col("source").cast("string").alias("_host"), lines.alias("_l")).where(F.size("_l") > 0)
-    digests = d.withColumn("_m", F.transform("_l", lambda x: F.md5(x)))
-    d = digests.withColumn("_doc", F.xxhash64(F.array_min("_m"), F.array_max("_m")))
-    d = d.select("_id", "_row", "_doc", "_host", F.explode("_l").alias("_line"))
-    return d.select("_id", "_row", "_doc", F.xxhash64(F.col("_host").isNull(), "_host", "_line").alias("_key"), F.size(F.split("_line", " ")).cast("long").alias("_n"))
+    d = d.select("_id", "_row", F.xxhash64("_l").alias("_doc"), "_host", F.posexplode("_l").alias("_at", "_line"))
+    return d.select("_id", "_row", "_doc", "_at", F.xxhash64(F.col("_host").isNull(), "_host", "_line").alias("_key"), F.size(F.split("_line", " ")).cast("long").alias("_n"))
 
 
 def frequent_hits(docs: DataFrame, limit: int) -> DataFrame:
@@ -83,12 +81,12 @@ def frequent_hits(docs: DataFrame, limit: int) -> DataFrame:
 
 def verdicts(docs: DataFrame, limit: int = LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """_id, _row, the base counts, base_failed, removed words (n_removed), kept; a row for each row of row_key() docs."""
-    removed = frequent_hits(docs, limit).groupBy("_id", "_row").agg(F.sum("_n").alias("_removed"))
+    # Repeated rows have the same places, so a line counts once however often its row is repeated.
+    removed = frequent_hits(docs, limit).select("_id", "_row", "_at", "_n").distinct().groupBy("_id", "_row").agg(F.sum("_n").alias("_removed"))
     removed = removed.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_removed")
     base = base_counts(docs)
     d = base.join(removed, base["_id"].eqNullSafe(removed["_id2"]) & (base["_row"] == removed["_row2"]), "left").drop("_id2", "_row2")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    # A repeated row's hits are counted with its twins', so the share is taken of the twins' words together.
     d = d.withColumns({"base_failed": failed, "n_removed": F.coalesce("_removed", F.lit(0))})
     left = F.col("n_words") - F.least("n_removed", "n_words")
     depleted = (F.col("n_removed") > 0) & ((left < least_words) | (left < least_share * F.col("n_words")))

@@ -50,6 +50,16 @@ def test_quality(spark):
     assert set(texts) == {i for i, r in kept.items() if r.kept}
 
 
+def test_quality_counts_different_pages_and_repeated_rows(spark):
+    shared = [f"Shared line {j} of this host." for j in range(10)]
+    own = lambda i, n: " ".join(f"p{i}x{j}" for j in range(n))
+    # 200 pages share ten lines, so most have the same least and greatest digest.
+    rows = [(i, "\n".join([*shared, own(i, 60)]), "h") for i in range(200)]
+    rows += [(900, "\n".join([*shared, own(900, 45)]), "h")] * 2
+    got = quality(frame(spark, rows)).collect()
+    assert len(got) == 202 and {r.n_removed for r in got} == {60} and all(r.kept for r in got)
+
+
 def test_mixing(spark):
     rows = [r for r in AWKWARD if r[0] != 5] + [(700 + i, "w " * (i * 37 % 91), f"s{i % 5}") for i in range(200)]
     want = by_duckdb(oracles.MIXING, rows)
