@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,11 @@ def doc_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="gravelock-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,13 +51,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes what stored() wrote, once nothing that is still to run reads it."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+def removed(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing that is still to run reads it."""
+    for t in tables:
+        removed(t.sparkSession, t.stored_at)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
