@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravelock.llm.common import stored
+from gravelock.llm.common import discard, stored
+from gravelock.llm.files import LongSet, Mapped
 from gravelock.llm.graphs import components
 
 DENSE, ROUNDS, SLICE = 16, 2, 512
 PREFIX = "token long, key long, n long, h long, hot boolean"
-NONE = np.empty(0, np.int64)
 
 
 def least_common(n: np.ndarray) -> np.ndarray:
@@ -33,17 +33,9 @@ def least_common(n: np.ndarray) -> np.ndarray:
     return (4 * n + 4) // 5
 
 
-def within(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted array `chosen`."""
-    if not len(chosen):
-        return np.zeros(len(values), bool)
-    return chosen[np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)] == values
-
-
-def prefix_marks(values: np.ndarray, counts: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """values: the texts' shingles one after another, each text's in order of hash; marks the prefixes if those in `late` come last."""
+def prefix_marks(counts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """counts: the texts' numbers of shingles, which stand one after another, each text's in order of hash; marks the prefixes if those marked in `last` come last."""
     starts = np.cumsum(counts) - counts
-    last = within(values, late)
     text = np.repeat(np.arange(len(counts)), counts)
 
     def rank(mask: np.ndarray) -> np.ndarray:
@@ -67,33 +59,30 @@ def slices(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
                 yield part.column("text_key").to_numpy()[some], lists.flatten().to_numpy(), counts[some].astype(np.int64)
 
 
-def prefixes(features: DataFrame, late: np.ndarray, dense: np.ndarray) -> DataFrame:
+def prefixes(features: DataFrame, late: LongSet, dense: LongSet) -> DataFrame:
     """A row for each prefix shingle: its text's key, number of shingles, number of `dense` ones in the prefix, and if it is one."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = Mapped()
         for keys, values, counts in slices(found):
-            marks = prefix_marks(values, counts, late)
+            marks = prefix_marks(counts, late.within(values, maps))
             text, token = np.repeat(np.arange(len(counts)), counts)[marks], values[marks]
-            hot = within(token, dense)
+            hot = dense.within(token, maps)
             h = np.bincount(text, weights=hot, minlength=len(counts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(keys[text]), pa.array(counts[text]), pa.array(h[text]), pa.array(hot)], ["token", "key", "n", "h", "hot"])
 
     return features.select("text_key", "shingles").mapInArrow(run, PREFIX)
 
 
-def longs(df: DataFrame) -> np.ndarray:
-    """The one column of df, sorted."""
-    return np.unique(np.concatenate([NONE, *(c.to_numpy() for c in df.toArrow().column(0).chunks)]))
-
-
-def bodies(features: DataFrame, keys: np.ndarray) -> DataFrame:
+def bodies(features: DataFrame, keys: LongSet) -> DataFrame:
     """key, shingles of the texts with these keys, once each."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = Mapped()
         for b in found:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                yield part.filter(pa.array(within(part.column("text_key").to_numpy(), keys)))
+                yield part.filter(pa.array(keys.within(part.column("text_key").to_numpy(), maps)))
 
     kept = features.select("text_key", "shingles").mapInArrow(run, "text_key long, shingles array<long>")
     return kept.groupBy(F.col("text_key").alias("key")).agg(F.first("shingles").alias("shingles"))
@@ -117,10 +106,13 @@ def possible(met: Column, a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """The pairs (u, v) that are alike."""
-    keys = longs(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+    keys = LongSet(pairs.select(F.explode(F.array("u", "v")).alias("key")))
     body = stored(bodies(features, keys), "bodies")
+    keys.remove(features)
     a, b = body.select(F.col("key").alias("u"), F.col("shingles").alias("a")), body.select(F.col("key").alias("v"), F.col("shingles").alias("b"))
-    return stored(pairs.select("u", "v").join(a, "u").join(b, "v").where(alike(F.col("a"), F.col("b"))).select("u", "v"), "verified")
+    out = stored(pairs.select("u", "v").join(a, "u").join(b, "v").where(alike(F.col("a"), F.col("b"))).select("u", "v"), "verified")
+    discard(body)
+    return out
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -152,11 +144,13 @@ def apart(table: DataFrame) -> DataFrame:
 def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
     """features: text_key, shingles (different ones, in unsigned order; a key's rows are equal). known: links
     (u, v) that hold anyway. Links that, with the known ones, give the components that all pairs alike give."""
-    late = NONE
+    none = order = late = LongSet()
+    met: DataFrame | None = None
     for _ in range(2):
         order = late
-        many = prefixes(features, order, NONE).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE)
-        late = np.union1d(order, longs(many.select("token")))
+        many = prefixes(features, order, none).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token")
+        met = stored(many if met is None else met.union(many), "late")
+        late = LongSet(met)
     rows = stored(prefixes(features, order, late), "prefixes")
     pairs = stored(cold_pairs(rows), "pairs")
     dense = stored(rows.where("hot").select("token", "key", "n", (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("h")).alias("c")).distinct(), "dense")
