@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -41,11 +40,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gravelock/{uuid.uuid4().hex}/{name}"
 
 
+#: Spark deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors. The shuffle files of the plan go at once."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -63,12 +71,6 @@ def discard(*tables: DataFrame) -> None:
         removed(t.sparkSession, t.stored_at)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def word_array(text: Column) -> Column:
     """The words of a text, in order (no Python involved)."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")

@@ -152,8 +152,11 @@ def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
         met = stored(many if met is None else met.union(many), "late")
         late = LongSet(met)
     rows = stored(prefixes(features, order, late), "prefixes")
+    for x in (order, late):
+        x.remove(features)
     pairs = stored(cold_pairs(rows), "pairs")
     dense = stored(rows.where("hot").select("token", "key", "n", (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("h")).alias("c")).distinct(), "dense")
+    discard(rows, met)
     both = pairs.union(pairs.select("v", "u", "met"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
     links, tested = known, None
@@ -176,4 +179,5 @@ def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
     rest = rest.where(possible(F.col("met") + F.least("c", "c2"), F.col("n"), F.col("n2"))).select("u", "v")
     few = rooted(rooted(pairs, "u", roots, "ru"), "v", roots, "rv").where("ru <> rv").select("u", "v")
     left = stored(rest.union(few).distinct().join(tested, ["u", "v"], "left_anti"), "left")
+    discard(pairs, dense, a)
     return links.union(verified(left, features))

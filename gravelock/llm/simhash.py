@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravelock.llm.common import batches, doc_text, stored
+from gravelock.llm.common import batches, discard, doc_text, stored
 from gravelock.llm.copies import copy_links
 from gravelock.llm.graphs import components
 
@@ -131,11 +131,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: Words of a shingle in near_copies.
 COPY_WORDS = 5
-FEATURES = "doc_id long, text_key long, fp long, shingles array<long>"
+FEATURES = "doc_id long, mark long, text_key long, fp long, shingles array<long>"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """For each row a key of its words, its fingerprint, and its different shingles in unsigned order."""
+    """For each row a digest of its text (mark), a key of its words, its fingerprint, and its different shingles in unsigned order."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, ids, texts in batches(found):
@@ -147,35 +147,47 @@ def features(docs: DataFrame) -> DataFrame:
                 key, fp, shingles = zip(*rows, strict=True)
                 ends = np.cumsum([0, *map(len, shingles)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shingles)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, PART), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), lists], ["doc_id", "text_key", "fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, PART), b.column("mark").slice(at, PART), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), lists], ["doc_id", "mark", "text_key", "fp", "shingles"])
 
-    return doc_text(docs).mapInArrow(run, FEATURES)
+    return doc_text(docs, F.xxhash64("text").alias("mark")).mapInArrow(run, FEATURES)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id for each row of docs: groups of near copies, for filtering.
-
-    Links: five-word fingerprints MAX_BITS apart (the grid join above), and texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more (`copies`): a few edits scattered over a text move some
-    ten bits, so fingerprints alone don't find them. Odd cases are as in near_groups.
-    """
+def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key for each row of docs; text_key, root, first: each text's group and first row, as (no id, doc_id, mark))."""
     found = stored(features(docs), "features")
-    texts = stored(found.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
+    texts = stored(found.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.min("fp").alias("fp")), "texts")
     fps = stored(texts.groupBy("fp").agg(F.min("text_key").alias("key")), "different")
     same = texts.join(fps, "fp").select(F.col("text_key").alias("u"), F.col("key").alias("v"))
     close = links(fps).join(fps.select(F.col("fp").alias("u"), F.col("key").alias("ku")), "u").join(fps.select(F.col("fp").alias("v"), F.col("key").alias("kv")), "v").select("ku", "kv")
     known = stored(same.where("u <> v").union(close), "known")
     rooted = components(copy_links(found.select("text_key", "shingles"), known))
     named = stored(texts.join(rooted, texts["text_key"] == rooted["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "rooted")
-    least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "named")
-    named = stored(named.join(least, "root").select("text_key", "component_id"), "classes")
-    return found.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")
+    ids = stored(found.select("doc_id", "text_key"), "ids")
+    discard(found, texts, fps, known)
+    return ids, named
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id for each row of docs: groups of near copies, for filtering.
+
+    Links: five-word fingerprints MAX_BITS apart (the grid join above), and texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more (`copies`): a few edits scattered over a text move some
+    ten bits, so fingerprints alone don't find them. Odd cases are as in near_groups.
+    """
+    ids, named = copy_groups(docs)
+    least = stored(named.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id")), "named")
+    return ids.join(stored(named.join(least, "root").select("text_key", "component_id"), "classes"), "text_key").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each group of near_copies, that of the least doc_id, with docs' columns. Where no row of a
-    group has a doc_id, all its rows stay, as they can't be told apart; of repeated rows one stays."""
-    groups = near_copies(docs)
-    kept = stored(groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    none = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, docs["doc_id"] == kept["_kept"]).drop("_kept").dropDuplicates(["doc_id"]).unionByName(none)
+    """One row of each group of near_copies, with docs' columns: that of the least doc_id (null last), and of the
+    least digest of its text if rows of one doc_id differ. Of repeated rows, the one with the least digest of
+    all columns stays. Null, empty and blank texts are one group. Rows of one doc_id with texts that are no
+    copies are in different groups, and each is judged by its own.
+    """
+    _, named = copy_groups(docs)
+    kept = stored(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_of")), "kept")
+    d = docs.withColumn("_mark", F.xxhash64("text"))
+    d = d.join(kept, d["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (d["_mark"] == kept["_of"]))
+    d = d.groupBy("_id", "_mark").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return d.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

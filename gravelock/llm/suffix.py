@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravelock.llm.common import batches, discard, doc_text, release, stored
+from gravelock.llm.common import batches, discard, doc_text, stored
 
 WINDOW, ANCHOR = 100, 24
 SPAN_OF = WINDOW - ANCHOR + 1  # anchors in a window
@@ -335,13 +335,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = ranked(docs)
     found = repeated_pieces(d.select("row", "text"))
-    release(spark)
     packed = compressed(d)
     sent = sent_pieces(packed.join(found, "row").select("row", "packed", "i", "hot"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = stored(later_windows(sent.repartition(n, "key").sortWithinPartitions("key")), "removed")
     discard(found)
-    release(spark)
     lost = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
     out = compressed(d).join(lost, "row", "left")
 

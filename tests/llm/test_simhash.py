@@ -200,3 +200,14 @@ def test_near_copies_take_the_exact_similarity(spark):
             rows.append((len(rows), " ".join(t)))
     got = dict(map(tuple, near_copies(frame(spark, rows)).collect()))
     assert got == copy_groups(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"t{k}x{j}" for j in range(90))
+    edited = text(1).replace("t1x40", "other")
+    rows = [(7, text(1)), (3, edited), (3, text(2)), (3, text(2)), (None, text(2)), (None, text(5)), (None, text(5)), (9, None), (8, ""), (4, " \n "), (5, text(6)), (5, text(7))]
+    rows += [(100 + i, text(8)) for i in range(50)]
+    docs = frame(spark, rows)
+    got = deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, edited), (3, text(2)), (None, text(5)), (4, " \n "), (5, text(6)), (5, text(7)), (100, text(8))], key=str)
