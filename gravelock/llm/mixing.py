@@ -97,8 +97,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken.
 
     Null texts have size 0 and are never taken; null sources are one source, the last; a null doc_id draws
-    by its text; repeated rows (one doc_id) draw one key and are taken or left together; an empty table
-    gives an empty result; other columns are ignored. Reruns agree, as keys depend on doc_id and seed only.
+    by its text; repeated rows (one doc_id) draw one key and are taken or left together; equal keys go by doc_id;
+    a very long text counts as its words, and is taken in part if the budget ends in it; an empty table gives an
+    empty result; other columns are ignored. Reruns agree, as keys depend on doc_id and seed only.
     """
     d = decided(docs.select("doc_id", "text", "source"), seed)
     taken = F.col("_size") * F.col("_times") + F.floor(F.col("_size") * F.col("_share") + 1e-6).cast("long")

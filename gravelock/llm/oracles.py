@@ -12,11 +12,11 @@ tok AS (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
 win AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS three FROM tok WINDOW o AS (PARTITION BY r ORDER BY i)),
 twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS n FROM win WHERE three IS NOT NULL),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY r),
-raw AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d),
-lines AS (SELECT r, source, line, lower(regexp_replace(trim(line, {BLANKS}), '{SPACE}', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+raw AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM d),
+lines AS (SELECT r, source, line, nth, lower(regexp_replace(trim(line, {BLANKS}), '{SPACE}', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
-ident AS (SELECT r, min(md5(norm)) || max(md5(norm)) AS doc FROM lines GROUP BY r),
-freq AS (SELECT source, norm FROM lines JOIN ident USING (r) GROUP BY source, norm HAVING count(DISTINCT doc) > {quality.LIMIT}),
+page AS (SELECT r, md5(string_agg(norm, chr(10) ORDER BY nth)) AS doc FROM lines GROUP BY r),
+freq AS (SELECT source, norm FROM lines JOIN page USING (r) GROUP BY source, norm HAVING count(DISTINCT doc) > {quality.LIMIT}),
 gone AS (SELECT l.r, sum(len(string_split(l.norm, ' '))) AS n FROM lines l JOIN freq f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.r),
 b AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,

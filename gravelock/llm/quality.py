@@ -79,10 +79,10 @@ def frequent_hits(docs: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(SALTS)).cast("int")).join(frequent, ["_key", "_salt"])
 
 
-def verdicts(docs: DataFrame, limit: int = LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """_id, _row, the base counts, base_failed, removed words (n_removed), kept; a row for each row of row_key() docs."""
+def verdicts(docs: DataFrame, hits: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """_id, _row, the base counts, base_failed, removed words (n_removed), kept; a row for each row of row_key() docs. hits: their frequent_hits."""
     # Repeated rows have the same places, so a line counts once however often its row is repeated.
-    removed = frequent_hits(docs, limit).select("_id", "_row", "_at", "_n").distinct().groupBy("_id", "_row").agg(F.sum("_n").alias("_removed"))
+    removed = hits.select("_id", "_row", "_at", "_n").distinct().groupBy("_id", "_row").agg(F.sum("_n").alias("_removed"))
     removed = removed.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_removed")
     base = base_counts(docs)
     d = base.join(removed, base["_id"].eqNullSafe(removed["_id2"]) & (base["_row"] == removed["_row2"]), "left").drop("_id2", "_row2")
@@ -97,9 +97,12 @@ def quality(docs: DataFrame, limit: int = LIMIT, least_words: int = LEAST_WORDS,
     """One row for each distinct row of docs (doc_id, text, source), repeated rows as often as they come.
 
     Null texts have no words and fail the base rules; a null doc_id or source is a value like another (null
-    sources form one host); an empty table gives an empty result; other columns are ignored.
+    sources form one host); a repeated row is one document among those that share a line, and loses its own
+    lines once; ties do not occur, as lines are in more than `limit` documents or not; a very long text is one
+    row's arrays in memory, its lines a row each; an empty table gives an empty result; other columns are ignored.
     """
-    v = verdicts(told_apart(docs), limit, least_words, least_share)
+    d = told_apart(docs)
+    v = verdicts(d, frequent_hits(d, limit), least_words, least_share)
     return v.select(F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
@@ -114,10 +117,11 @@ def cleaned(docs: DataFrame, limit: int = LIMIT, least_words: int = LEAST_WORDS,
     to remove meet the list of those lines; the texts are shuffled once.
     """
     d = row_key(docs)
+    found = stored(frequent_hits(told_apart(docs), limit).select("_id", "_row", "_at", "_n", "_key"), "hits")
     # Stored before it is filtered: a pushed-down filter would work out the counts' array expressions anew for each element.
-    v = stored(verdicts(told_apart(docs), limit, least_words, least_share).select("_id", "_row", "kept", "n_removed"), "verdicts")
+    v = stored(verdicts(told_apart(docs), found, least_words, least_share).select("_id", "_row", "kept"), "verdicts")
     v = v.where("kept").select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2")).distinct()
-    hits = frequent_hits(told_apart(docs), limit).groupBy("_id", "_row").agg(F.collect_set("_key").alias("_hits"))
+    hits = found.groupBy("_id", "_row").agg(F.collect_set("_key").alias("_hits"))
     v = v.join(hits, v["_id2"].eqNullSafe(hits["_id"]) & (v["_row2"] == hits["_row"]), "left").select("_id2", "_row2", "_hits")
     d = d.join(v, d["_id"].eqNullSafe(v["_id2"]) & (d["_row"] == v["_row2"]))
     host = F.col("source").cast("string")
