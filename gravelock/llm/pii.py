@@ -1,10 +1,16 @@
 """7, PII: plain patterns for four kinds, and terms that give the protected entities away. Built-in functions only.
 
-The values found by the patterns are the protected entities. A term within CONTEXT characters of an entity
-discloses it if PMI(term; entity) >= ALPHA * IC(entity), where IC(entity) = -log2 p(entity), probabilities
-are shares of all documents, and the pair is seen in at least SUPPORT different texts (so copies of one text
-prove nothing). Such terms become spans of kind `term`; `sanitised` generalises entities to their kind and
-removes the terms. Terms come from documents with an entity only, so a document without one is untouched.
+The values found by the patterns are the protected entities. All counts are of documents (rows): n(x) have the
+entity x, n(t) the term t, n(x,t) both, anywhere in their texts, N there are. A term discloses an entity if
+PMI(t; x) >= ALPHA * IC(x), where IC(x) = -log2 p(x), p(x) = n(x) / N, and PMI(t; x) = log2 p(x|t) / p(x), with
+p(x|t) = (n(x,t) + PRIOR p(x)) / (n(t) + PRIOR): a pair seen once or twice counts, but less than its face value.
+A word that hardly any other document has thus discloses, whatever its distance from the entity: whoever knows it
+has found the document. Every occurrence of a disclosing term in a document with its entity becomes a span of
+kind `term`; `sanitised` generalises entities to their kind and removes the terms. Terms come from documents with
+an entity only, so a document without one is untouched.
+
+Entities that are in exactly the same documents have the same counts, so they are one class: a directory page of
+thousands of entities and words is one class against its words, not all pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = ("email", "ip", "card", "phone", "term")
-TERM = r"[\p{L}\p{N}_]{4,}+"
-ALPHA, SUPPORT, CONTEXT = 0.8, 3, 60
+TERM = r"[\p{L}\p{N}_]{2,}+"
+ALPHA, PRIOR = 0.8, 1.0
 SPAN = "struct<k:int,s:int,e:int>"
 SALTS = 16
 
@@ -87,36 +93,48 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.coalesce(F.col("text"), F.lit("")), "_row": F.xxhash64("text")})
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """_id, _row, _entity, _term (hashes), s, e: each term in the context of an entity, outside all entities."""
-    one = found.where(F.size("_base") > 0).select("_id", "_row", "_text", "_base", F.explode("_base").alias("_b"))
-    one = one.withColumn("_entity", F.xxhash64("_b.k", "_b.v"))
-    # The context is widened by a term's length at its far ends, and what its cuts maim is dropped.
-    left = F.greatest(F.col("_b.s") - CONTEXT, F.lit(0))
-    one = one.withColumns({"_left": left, "_around": F.substring("_text", left + 1, F.col("_b.e") - left + CONTEXT)})
-    one = one.withColumn("_terms", located(F.col("_around"), TERM, F.lit(True)))
-    one = one.withColumn("_t", F.explode("_terms")).withColumns({"s": F.col("_t.s") + F.col("_left"), "e": F.col("_t.e") + F.col("_left")})
-    cut = ((F.col("_t.s") == 0) & (F.col("_left") > 0)) | ((F.col("_t.e") == F.char_length("_around")) & (F.col("e") < F.char_length("_text")))
-    clear = ~F.exists("_base", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"]))
-    return one.where(~cut & clear).select("_id", "_row", "_entity", F.xxhash64(F.lower("_t.v")).alias("_term"), "s", "e")
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """_id, _row, _rows (how often the row is there), _entities (digests), _terms (array of (h, s, e) outside the entities): each different row that has an entity."""
+    found = base_spans(docs.select("_id", "_row", "_text")).where(F.size("_base") > 0)
+    hidden = lambda t: F.exists("_base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
+    terms = F.transform(F.filter(located(F.col("_text"), TERM, F.lit(True)), lambda t: ~hidden(t)), lambda t: F.struct(F.xxhash64(F.lower(t["v"])).alias("h"), t["s"].alias("s"), t["e"].alias("e")))
+    found = found.select("_id", "_row", F.transform("_base", lambda b: F.xxhash64(b["k"], b["v"])).alias("_entities"), terms.alias("_terms"))
+    return found.groupBy("_id", "_row").agg(F.count("*").alias("_rows"), F.first("_entities").alias("_entities"), F.first("_terms").alias("_terms"))
+
+
+def told_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """_id, _row, _term: the disclosing terms of each document with an entity. found: entity_texts of docs."""
+    key = F.struct("_id", "_row")
+    ents = found.select("_id", "_row", "_rows", F.explode(F.array_distinct("_entities")).alias("_entity"))
+    # Entities of the same documents are one class.
+    of = ents.groupBy("_entity").agg(F.sum("_rows").alias("_x"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64(key)).alias("_a"), F.bit_xor(F.xxhash64(F.lit(7), key)).alias("_b"))
+    of = of.select("_entity", "_x", F.xxhash64("_x", "_n", "_a", "_b").alias("_class"))
+    classes = stored(ents.join(of, "_entity").select("_id", "_row", "_rows", "_class", "_x").distinct(), "classes")
+    terms = found.select("_id", "_row", F.explode(F.array_distinct(F.transform("_terms", lambda t: t["h"]))).alias("_term"))
+    c, t = classes.alias("c"), terms.alias("t")
+    both = c.join(t, F.col("c._id").eqNullSafe(F.col("t._id")) & (F.col("c._row") == F.col("t._row")))
+    both = stored(both.select("c._id", "c._row", "_rows", "_class", "_x", "_term"), "both")
+    pairs = both.groupBy("_class", "_term").agg(F.sum("_rows").alias("_both"), F.first("_x").alias("_x"))
+    # A row for each different term of a document; they are combined before their shuffle.
+    in_text = docs.select(F.explode(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))), lambda w: F.xxhash64(F.lower(w))))).alias("_term"))
+    counts = in_text.groupBy("_term").agg(F.count("*").alias("_t"))
+    total = docs.agg(F.count("*").cast("double").alias("_all"))  # one row
+    told = pairs.join(counts, "_term").join(F.broadcast(total))
+    p = F.col("_x") / F.col("_all")
+    given = (F.col("_both") + prior * p) / (F.col("_t") + prior)
+    told = told.where((p < 1) & (F.log2(given / p) >= alpha * -F.log2(p)))
+    # Both sides are dealt by salt as well: a class of a third of all documents is SALTS groups.
+    told = told.select("_class", "_term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    hit = both.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(SALTS)).cast("int")).join(told, ["_class", "_term", "_salt"])
+    return hit.select("_id", "_row", "_term").distinct()
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
     """_id, _row, _terms (array of (k, s, e)): the disclosing terms of the documents that have any. docs: keyed()."""
-    near = stored(near_terms(base_spans(docs.select("_id", "_row", "_text"))), "near_terms")
-    pair = near.select("_id", "_row", "_entity", "_term").distinct()
-    # Documents and different texts of each pair; both combine before their shuffle.
-    pairs = pair.groupBy("_entity", "_term", "_row").agg(F.count("*").alias("_n")).groupBy("_entity", "_term").agg(F.sum("_n").alias("_both"), F.count("*").alias("_texts")).where(F.col("_texts") >= SUPPORT)
-    entities = pair.select("_id", "_row", "_entity").distinct().groupBy("_entity").agg(F.count("*").alias("_e"))
-    in_text = docs.select(F.explode(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))), lambda w: F.xxhash64(F.lower(w))))).alias("_term"))
-    terms = in_text.groupBy("_term").agg(F.count("*").alias("_t"))
-    total = docs.agg(F.count("*").cast("double").alias("_all"))  # one row
-    told = pairs.join(entities, "_entity").join(terms, "_term").join(F.broadcast(total))
-    pmi = F.log2(F.col("_both") * F.col("_all") / (F.col("_t") * F.col("_e")))
-    told = told.where((F.col("_e") < F.col("_all")) & (pmi >= ALPHA * -F.log2(F.col("_e") / F.col("_all"))))
-    told = told.select("_entity", "_term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    hit = near.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(SALTS)).cast("int")).join(told, ["_entity", "_term", "_salt"])
-    return hit.groupBy("_id", "_row").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("k"), "s", "e"))).alias("_terms"))
+    found = stored(entity_texts(docs), "entity_texts")
+    places = found.select("_id", "_row", F.explode("_terms").alias("_t")).select("_id", "_row", F.col("_t.h").alias("_term"), "_t.s", "_t.e")
+    hit = places.alias("p").join(told_terms(found, docs).alias("t"), F.col("p._id").eqNullSafe(F.col("t._id")) & (F.col("p._row") == F.col("t._row")) & (F.col("p._term") == F.col("t._term")))
+    return hit.groupBy("p._id", "p._row").agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("k"), "p.s", "p.e"))).alias("_terms"))
 
 
 def with_terms(d: DataFrame, terms: DataFrame) -> DataFrame:
@@ -134,8 +152,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Null texts are empty and have no spans; a null doc_id is a value like another; repeated rows each get
-    their row (and are one text as evidence); an empty table gives an empty result; other columns are
-    ignored. Texts are never shuffled; what is counted over the corpus is combined before each shuffle.
+    their row and each count as a document; a very long text is one row's arrays in memory; an empty table gives
+    an empty result; other columns are ignored. Texts are never shuffled, but for the words of those with an
+    entity; what is counted over the corpus is combined before each shuffle.
     """
     d = keyed(docs.select("doc_id", "text"))
     base = base_spans(d).select("_id", "_row", F.transform("_base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("_base"))
@@ -150,10 +169,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     Where spans overlap, the first takes all of them. Documents without a span keep their text as it is, and
     are not shuffled.
     """
-    d = base_spans(keyed(docs))
+    d = base_spans(keyed(docs)).withColumn("_base", F.transform("_base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
+    d = stored(d, "searched")
     clean = d.where(F.size("_base") == 0).select(*docs.columns)
-    d = d.where(F.size("_base") > 0).withColumn("_base", F.transform("_base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
-    d = with_terms(d, term_spans(keyed(docs)))
+    d = with_terms(d.where(F.size("_base") > 0), term_spans(keyed(docs)))
     by_start = F.sort_array(F.transform(F.concat("_base", "_terms"), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
     tags = F.array(*[F.lit(f"<{k}>") for k in KINDS[:4]], F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))

@@ -1,10 +1,14 @@
 """Quality rules, personal data and mixing against DuckDB and plain Python."""
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
+import regex
 from llm_cases import AWKWARD, frame
 
 from gravelock.llm import oracles
@@ -38,14 +42,17 @@ DEPLETED = [(500, "\n".join([LINES] * 4 + ["x " + " ".join(f"q{j}" for j in rang
 
 
 def test_quality(spark):
-    rows = [r for r in AWKWARD if r[0] != 5] + BOILER + COPIES + DEPLETED + [(600, "a b c d\n" * 30 + "#$%", "h"), (601, "a b c a b c a b", None)]
+    rows = AWKWARD + BOILER + COPIES + DEPLETED + [(600, "a b c d\n" * 30 + "#$%", "h"), (601, "a b c a b c a b", None)] + [BOILER[0]] * 3 + [(100, BOILER[7][1], "h")]
     want = by_duckdb(oracles.QUALITY, rows)
     got = quality(frame(spark, rows))
     assert rows_of(got, want) == want
+    rows = rows[:-4]
+    got = quality(frame(spark, rows))
     kept = {r.doc_id: r for r in got.collect()}
     assert all(kept[r[0]].kept for r in BOILER + COPIES) and not kept[500].kept and kept[100].n_removed == 10 and kept[300].n_removed == 0
     assert quality(frame(spark, [])).count() == 0 and quality(frame(spark, AWKWARD)).count() == len(AWKWARD)
     texts = {r.doc_id: r.text for r in cleaned(frame(spark, rows)).collect()}
+    assert cleaned(frame(spark, rows)).columns == frame(spark, rows).columns and cleaned(frame(spark, [])).count() == 0
     assert texts[100] == BOILER[0][1].replace(LINES + "\n", "") and texts[300] == COPIES[0][1] and 500 not in texts
     assert set(texts) == {i for i, r in kept.items() if r.kept}
 
@@ -58,10 +65,11 @@ def test_quality_counts_different_pages_and_repeated_rows(spark):
     rows += [(900, "\n".join([*shared, own(900, 45)]), "h")] * 2
     got = quality(frame(spark, rows)).collect()
     assert len(got) == 202 and {r.n_removed for r in got} == {60} and all(r.kept for r in got)
+    assert rows_of(quality(frame(spark, rows)), want := by_duckdb(oracles.QUALITY, rows)) == want
 
 
 def test_mixing(spark):
-    rows = [r for r in AWKWARD if r[0] != 5] + [(700 + i, "w " * (i * 37 % 91), f"s{i % 5}") for i in range(200)]
+    rows = AWKWARD + [(700 + i, "w " * (i * 37 % 91), f"s{i % 5}") for i in range(200)]
     want = by_duckdb(oracles.MIXING, rows)
     d = frame(spark, rows)
     assert rows_of(mix(d), want) == want
@@ -74,7 +82,7 @@ def test_mixing(spark):
     times = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     for r in got.itertuples():
         if r.size and r.doc_id == r.doc_id:
-            assert abs(times.get(int(r.doc_id), 0) - r.taken / r.size) <= 0.5
+            assert abs(times.get(int(r.doc_id), 0) / sum(got["doc_id"] == r.doc_id) - r.taken / r.size) <= 0.5
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -124,18 +132,73 @@ def test_personal_data_base_and_odd_cases(spark, sf_dir):
     assert personal_data(frame(spark, [])).count() == 0
 
 
-def test_disclosing_terms(spark):
-    told = [(i, f"Report {i} {'abcdefgh'[i] * 5}: write to Zorbulon at zorb@mail.example today, number {i}") for i in range(6)]
-    others = [(20 + i, f"nothing to write today, report number {i} of others") for i in range(40)]
-    copies = [(100 + i, "A Quuxington letter goes to quux@mail.example only") for i in range(9)]
-    rows = told + others + copies
-    got = {r.doc_id: r.spans for r in personal_data(frame(spark, rows)).collect()}
-    for i, t in told:
-        terms = {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].split(",")) if k == "term"}
-        assert terms == {"Zorbulon"}
-    assert all(got[i] == "" for i, _ in others) and all("term" not in got[i] for i, _ in copies)
+WORD = regex.compile(r"[\p{L}\p{N}_]{2,}+")
+
+
+def entities(text):
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    value = {"email": str.lower, "ip": str, "card": digits, "phone": digits}
+    return {(k, value[k]((text or "")[a:b])) for k, a, b in base(text)}
+
+
+def told(rows):
+    """The `term` spans of every row, by counts of documents in dictionaries."""
+    n = len(rows)
+    spans = [[(a, b) for _, a, b in base(t)] for _, t in rows]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(t or "")] for _, t in rows]
+    ents = [entities(t) for _, t in rows]
+    x, t, both = Counter(), Counter(), Counter()
+    free = []
+    for e, w, s in zip(ents, words, spans, strict=True):
+        x.update(e)
+        t.update({v for _, _, v in w})
+        free.append([(a, b, v) for a, b, v in w if not any(c < b and a < d for c, d in s)] if e else [])
+        both.update((i, v) for i in e for v in {v for _, _, v in free[-1]})
+    out = []
+    for e, w in zip(ents, free, strict=True):
+        p = {i: x[i] / n for i in e}
+        ok = lambda i, v: x[i] < n and math.log2((both[i, v] + p[i]) / (t[v] + 1) / p[i]) >= -0.8 * math.log2(p[i])  # noqa: B023, E731
+        out.append([(a, b) for a, b, v in w if any(ok(i, v) for i in e)])
+    return out
+
+
+def term_rows(df):
+    return sorted(((r.doc_id, [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term")]) for r in df.collect()), key=str)
+
+
+def test_disclosing_terms_by_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    odd = [r[:2] for r in AWKWARD] + [(800 + i, t) for i, t in enumerate(ODD)] + [(None, "Qwertz a@b.cd"), (None, "Qwertz a@b.cd"), (5, "Other q@b.cd Qwertz")]
+    page = [(900, " ".join(f"Name{i} mail{i}@page.example" for i in range(300))), (901, "Name7 Name8")]
+    for rows in (docs, odd + page, docs[:50] + odd + page):
+        want = sorted(((i, s) for (i, _), s in zip(rows, told(rows), strict=True)), key=str)
+        assert term_rows(personal_data(frame(spark, rows))) == want
+    assert sum(len(s) for s in told(docs))
+
+
+def test_planted_terms_are_found_wherever_they_stand(spark):
+    rng = random.Random(5)
+    common = [f"word{i}" for i in range(400)]
+    text = lambda n: rng.choices(common, k=n)
+    rows = [(i, " ".join(text(150))) for i in range(400)]
+    planted = {}
+    for i in range(40):  # a name and an address, far apart, in one to four documents
+        for j in range(1 + i % 4):
+            words = text(200)
+            words[3], words[180] = f"Zorbulon{i}", f"person{i}@mail.example"
+            rows.append((1000 + 10 * i + j, " ".join(words)))
+            planted[1000 + 10 * i + j] = f"Zorbulon{i}"
+    text_of = dict(rows)
+    got = {i: {text_of[i][a:b] for a, b in s} for i, s in term_rows(personal_data(frame(spark, rows)))}
+    caught = sum(got[i] == {t} for i, t in planted.items())
+    assert caught >= 0.9 * len(planted), caught
+    assert not any(got[i] for i, _ in rows[:400])
     out = {r.doc_id: r.text for r in sanitised(frame(spark, rows)).collect()}
-    assert out[0] == told[0][1].replace("Zorbulon", "").replace("zorb@mail.example", "<email>") and all(out[i] == t for i, t in others)
+    assert all(out[i] == t for i, t in rows[:400])
+    assert out[1000] == text_of[1000].replace("Zorbulon0", "").replace("person0@mail.example", "<email>")
+
+
+def test_sanitised_odd_cases(spark):
     assert sanitised(frame(spark, AWKWARD)).count() == len(AWKWARD)
     assert {(r.doc_id, r.text) for r in sanitised(frame(spark, AWKWARD)).collect()} == {(i, t) for i, t, _ in AWKWARD}
     text = "é 1.1.1.1@a.b then +49 30 1234567" + " é" * 3
