@@ -15,7 +15,7 @@ thousands of entities and words is one class against its words, not all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravelock.llm.common import stored
@@ -28,7 +28,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = ("email", "ip", "card", "phone", "term")
-TERM = r"[\p{L}\p{N}_]{2,}+"
+#: Stands for the characters of entities while terms are looked for; a word that touches one is no term.
+BLANK = "\uffff"
+TERM = rf"(?<![\p{{L}}\p{{N}}_{BLANK}])[\p{{L}}\p{{N}}_]{{2,}}+(?!{BLANK})"
+WORDS = r"[\p{L}\p{N}_]{2,}+"
 ALPHA, PRIOR = 0.8, 1.0
 SPAN = "struct<k:int,s:int,e:int>"
 SALTS = 16
@@ -93,30 +96,49 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.coalesce(F.col("text"), F.lit("")), "_row": F.xxhash64("text")})
 
 
-def entity_texts(docs: DataFrame) -> DataFrame:
-    """_id, _row, _rows (how often the row is there), _entities (digests), _terms (array of (h, s, e) outside the entities): each different row that has an entity."""
-    found = base_spans(docs.select("_id", "_row", "_text")).where(F.size("_base") > 0)
-    hidden = lambda t: F.exists("_base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
-    terms = F.transform(F.filter(located(F.col("_text"), TERM, F.lit(True)), lambda t: ~hidden(t)), lambda t: F.struct(F.xxhash64(F.lower(t["v"])).alias("h"), t["s"].alias("s"), t["e"].alias("e")))
-    found = found.select("_id", "_row", F.transform("_base", lambda b: F.xxhash64(b["k"], b["v"])).alias("_entities"), terms.alias("_terms"))
-    return found.groupBy("_id", "_row").agg(F.count("*").alias("_rows"), F.first("_entities").alias("_entities"), F.first("_terms").alias("_terms"))
+def blanked(text: Column, spans: Column) -> Column:
+    """text with the characters of the spans (k, s, e, v) blanked out."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        gap = F.substring(text, a["at"] + 1, F.greatest(F.lit(0), x["s"] - a["at"]))
+        e = F.greatest(a["at"], x["e"])
+        return F.struct(e.alias("at"), F.concat(a["out"], F.array(gap, F.repeat(F.lit(BLANK), e - F.greatest(a["at"], x["s"])))).alias("out"))
+
+    by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return F.aggregate(by_start, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
 
 
-def told_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
-    """_id, _row, _term: the disclosing terms of each document with an entity. found: entity_texts of docs."""
+def entity_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each different row that has an entity: (_id, _row, _rows (how often it is there), _entities (digests); and
+    a row for each term outside the entities: _id, _row, _term, s, e)."""
+    found = base_spans(docs.select("_id", "_row", "_text")).where(F.size("_base") > 0)
+    found = found.select("_id", "_row", F.transform("_base", lambda b: F.xxhash64(b["k"], b["v"])).alias("_entities"), blanked(F.col("_text"), F.col("_base")).alias("_rest"))
+    found = stored(found.groupBy("_id", "_row").agg(F.count("*").alias("_rows"), F.first("_entities").alias("_entities"), F.first("_rest").alias("_rest")), "entity_texts")
+    # The lengths of words and of what stands between them, summed in order, give the places.
+    words, gaps = F.regexp_extract_all("_rest", F.lit(TERM), F.lit(0)), F.split("_rest", TERM, -1)
+    parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(words)).alias("g"), words.alias("m"))
+    t = found.select("_id", "_row", F.posexplode(parts).alias("_at", "_p"))
+    t = t.select("_id", "_row", "_at", F.char_length("_p.g").alias("_gap"), F.char_length("_p.m").alias("_len"), F.xxhash64(F.lower("_p.m")).alias("_term"))
+    e = F.sum(F.col("_gap") + F.col("_len")).over(Window.partitionBy("_id", "_row").orderBy("_at")).cast("int")
+    return found.drop("_rest"), stored(t.select("_id", "_row", "_term", (e - F.col("_len")).alias("s"), e.alias("e")), "terms")
+
+
+def told_terms(found: DataFrame, places: DataFrame, docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """_id, _row, _term: the disclosing terms of each document with an entity. found, places: entity_texts of docs."""
     key = F.struct("_id", "_row")
     ents = found.select("_id", "_row", "_rows", F.explode(F.array_distinct("_entities")).alias("_entity"))
     # Entities of the same documents are one class.
     of = ents.groupBy("_entity").agg(F.sum("_rows").alias("_x"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64(key)).alias("_a"), F.bit_xor(F.xxhash64(F.lit(7), key)).alias("_b"))
     of = of.select("_entity", "_x", F.xxhash64("_x", "_n", "_a", "_b").alias("_class"))
     classes = stored(ents.join(of, "_entity").select("_id", "_row", "_rows", "_class", "_x").distinct(), "classes")
-    terms = found.select("_id", "_row", F.explode(F.array_distinct(F.transform("_terms", lambda t: t["h"]))).alias("_term"))
+    terms = places.select("_id", "_row", "_term").distinct()
     c, t = classes.alias("c"), terms.alias("t")
     both = c.join(t, F.col("c._id").eqNullSafe(F.col("t._id")) & (F.col("c._row") == F.col("t._row")))
     both = stored(both.select("c._id", "c._row", "_rows", "_class", "_x", "_term"), "both")
     pairs = both.groupBy("_class", "_term").agg(F.sum("_rows").alias("_both"), F.first("_x").alias("_x"))
     # A row for each different term of a document; they are combined before their shuffle.
-    in_text = docs.select(F.explode(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))), lambda w: F.xxhash64(F.lower(w))))).alias("_term"))
+    in_text = docs.select(F.explode(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))), lambda w: F.xxhash64(F.lower(w))))).alias("_term"))
     counts = in_text.groupBy("_term").agg(F.count("*").alias("_t"))
     total = docs.agg(F.count("*").cast("double").alias("_all"))  # one row
     told = pairs.join(counts, "_term").join(F.broadcast(total))
@@ -131,9 +153,9 @@ def told_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, prior: f
 
 def term_spans(docs: DataFrame) -> DataFrame:
     """_id, _row, _terms (array of (k, s, e)): the disclosing terms of the documents that have any. docs: keyed()."""
-    found = stored(entity_texts(docs), "entity_texts")
-    places = found.select("_id", "_row", F.explode("_terms").alias("_t")).select("_id", "_row", F.col("_t.h").alias("_term"), "_t.s", "_t.e")
-    hit = places.alias("p").join(told_terms(found, docs).alias("t"), F.col("p._id").eqNullSafe(F.col("t._id")) & (F.col("p._row") == F.col("t._row")) & (F.col("p._term") == F.col("t._term")))
+    found, places = entity_texts(docs)
+    p, t = places.alias("p"), told_terms(found, places, docs).alias("t")
+    hit = p.join(t, F.col("p._id").eqNullSafe(F.col("t._id")) & (F.col("p._row") == F.col("t._row")) & (F.col("p._term") == F.col("t._term")))
     return hit.groupBy("p._id", "p._row").agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("k"), "p.s", "p.e"))).alias("_terms"))
 
 
