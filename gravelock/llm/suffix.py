@@ -6,7 +6,9 @@
 2. Anchors that occur once in the corpus are dropped (a count over anchor hashes), each document keeps the
    list of its other pieces.
 3. Pieces are dealt by anchor. Within one task's batch, pieces equal byte for byte are sent once; the later
-   ones are removed there and then. A group of very many pieces (HOT) is dealt window by window instead.
+   ones are settled there and then, and dealt by their document. Where equal pieces of several batches meet, the
+   earliest is kept in the same way. A group of very many pieces (HOT) is dealt window by window instead, which
+   gives the same result: equal windows have equal anchors.
 4. A task lays the pieces side by side, aligned at their anchors, and goes through the columns from the last
    to the first, inserting one symbol of every piece each round: the order of the suffixes is updated by a
    stable sort on the new symbols (which, in that order, are the collection's Burrows-Wheeler transform of
@@ -210,16 +212,24 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 PIECES = "key long, row long, start long, anchor int, windows int, piece binary"
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
+ORDER = ("key", "anchor", "piece", "row", "start")
+
+
+def mix(row: int, start: int) -> int:
+    """A signed 64-bit digest of a stretch of a document, the same for starts that are close."""
+    x = (row * 0x9E3779B97F4A7C15 + (start >> 12)) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 32
+    return x - (1 << 64) if x >> 63 else x
 
 
 def sent_pieces(joined: DataFrame) -> DataFrame:
     """Pieces for the groups (piece given), and spans already known to go (piece null)."""
-    names = [x.split()[0] for x in PIECES.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def flush(held: dict, gone: list) -> pa.RecordBatch:
         rows = [(k, r, s, a, w, p) for (k, a, p), (r, s, w) in held.items()] + gone
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -235,7 +245,8 @@ def sent_pieces(joined: DataFrame) -> DataFrame:
             mine = (row, start, windows)
             later = max(mine, other)
             held[key, anchor, piece] = min(mine, other)
-            gone.append((key, later[0], later[1], 0, windows, None))
+            # Settled: any task can take it, so it is dealt by its place, not by its key.
+            gone.append((mix(later[0], later[1]), later[0], later[1], 0, windows, None))
             size += 60
 
         for b in found:
@@ -263,24 +274,18 @@ def sent_pieces(joined: DataFrame) -> DataFrame:
 
 
 def later_windows(pieces: DataFrame) -> DataFrame:
-    """row, start, end of the stretches to remove. pieces: dealt so that a key's are in one partition."""
+    """row, start, end of the stretches to remove. pieces: a key's in one partition, sorted by ORDER: of equal pieces
+    the earliest comes first, so a task holds different pieces only, however often one is sent."""
 
     def of_task(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        row, start, anchor, windows = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-        data = [r[4] for r in rows]
-        # Equal pieces enter the construction once, as the earliest; the others go whole.
+        row, start, anchor = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
         by = np.lexsort((start, row))
-        kept: dict[tuple, int] = {}
-        gone = [j for j in by.tolist() if kept.setdefault((data[j], int(anchor[j])), j) != j]
-        if gone:
-            yield row[gone], start[gone], start[gone] + windows[gone] + WINDOW - 1
-        some = np.array(list(kept.values()))  # already in order: by row, then start
-        place = start[some] + anchor[some]
-        rank = np.empty(len(some), np.int64)
-        rank[np.lexsort((place, row[some]))] = np.arange(len(some))
-        for who, at in column_order([data[j] for j in some], anchor[some], rank):
-            s = start[some[who]] + at
-            yield row[some[who]], s, s + WINDOW
+        row, start, anchor = row[by], start[by], anchor[by]
+        rank = np.empty(len(by), np.int64)
+        rank[np.lexsort((start + anchor, row))] = np.arange(len(by))
+        for who, at in column_order([rows[j][3] for j in by.tolist()], anchor, rank):
+            s = start[who] + at
+            yield row[who], s, s + WINDOW
 
     def joined(parts: list[tuple]) -> pa.RecordBatch:
         """Fewer rows: the union of what each document loses here."""
@@ -299,17 +304,18 @@ def later_windows(pieces: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(s[first]), pa.array(top[np.append(first[1:], len(row)) - 1])], ["row", "start", "end"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n, done, size, key_was = [], 0, [], 0, None
+        rows, n, done, was = [], 0, [], (None, None, None)
         for b in found:
-            for key, *r, piece in zip(*(b.column(c).to_pylist() for c in ("key", "row", "start", "anchor", "windows", "piece")), strict=True):
-                if piece is None:
-                    done.append((np.array([r[0]]), np.array([r[1]]), np.array([r[1] + r[3] + WINDOW - 1])))
+            for key, row, start, anchor, windows, piece in zip(*(b.column(c).to_pylist() for c in NAMES), strict=True):
+                if piece is None or (key, anchor, piece) == was:
+                    # Known to go, or equal to the earlier piece right before it, which enters the construction for all.
+                    done.append((np.array([row]), np.array([start]), np.array([start + windows + WINDOW - 1])))
                     continue
-                if n > 8 * BATCH and key != key_was:  # groups are whole: rows come sorted by key
+                if n > 8 * BATCH and key != was[0]:  # groups are whole: rows come sorted by key
                     done += of_task(rows)
                     rows, n = [], 0
-                key_was = key
-                rows.append((*r, piece))
+                was = key, anchor, piece
+                rows.append((row, start, anchor, piece))
                 n += len(piece)
             if len(done) > 1 << 16:
                 yield joined(done)
@@ -338,7 +344,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     packed = compressed(d)
     sent = sent_pieces(packed.join(found, "row").select("row", "packed", "i", "hot"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = stored(later_windows(sent.repartition(n, "key").sortWithinPartitions("key")), "removed")
+    spans = stored(later_windows(sent.repartition(n, "key").sortWithinPartitions(*ORDER)), "removed")
     discard(found)
     lost = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("lost"))
     out = compressed(d).join(lost, "row", "left")
