@@ -1,7 +1,12 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import textwrap
+import zlib
 from urllib.parse import quote
 
 from llm_cases import AWKWARD, frame
@@ -113,9 +118,75 @@ def test_hidden_layers_map_to_the_text():
     assert secret_spans("%2525252541") == [] and secret_spans("aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ=") == []
 
 
-def test_layers_end_and_bombs_are_bounded():
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def hidden_spans(text):
+    return [(a, b, k) for a, b, k in secret_spans(text) if "." in k]
+
+
+def test_layers_that_need_care():
+    secret = b"password=hunter2hunter"
+    noise = random.Random(3).randbytes(1_800_000).hex(" ", 3).encode()
+    log = b"".join(b"line %d of a log, nothing to see.\n" % i for i in range(60_000))
+    wrapped = "\n".join(textwrap.wrap(b64(b"some words before it; " + secret + b"; and some more after it"), 24))
+    for name, text in {
+        "far into a large compressed layer": b64(gzip.compress(log + secret + log)),
+        "behind noise that hardly compresses": b64(gzip.compress(noise + secret)),
+        "second member": b64(gzip.compress(b"first") + gzip.compress(secret)),
+        "a zero byte and a zero-width character": b64(b"\0\xe2\x80\x8b" + secret + b"\xff"),
+        "16-bit characters": b64(secret.decode().encode("utf-16")),
+        "16-bit big-endian": b64(secret.decode().encode("utf-16-be")),
+        "compressed in hex": zlib.compress(secret).hex(),
+        "compressed in URL escapes": "".join(f"%{x:02x}" for x in gzip.compress(secret)),
+        "compressed in byte escapes": "".join(f"\\x{x:02x}" for x in zlib.compress(secret)),
+        "bzip2 and xz": b64(bz2.compress(lzma.compress(secret))),
+        "wrapped over lines": wrapped,
+        "wrapped with returns": wrapped.replace("\n", "\r\n  "),
+        "glued to a path": "dir/" + b64(secret),
+        "16 characters": b64(b"token=abcdef"),
+    }.items():
+        found = hidden_spans(f"before: {text} :after")
+        assert any(k.endswith(".assign") for _, _, k in found), name
+        assert all(8 <= a < b <= 8 + len(text) for a, b, _ in found), (name, found)
+    two = b64(b"password=firstone and more words password=secondone")
+    assert len([x for x in hidden_spans(two) if x[2] == "base64.assign"]) == 2
+    a, b, _ = hidden_spans("x " + b64(b"abcdef password=firstone"))[0]
+    assert a == 2 + 7 * 8 // 6 and b == 2 + 32
+
+
+CODINGS = {
+    "base64": b64,
+    "hex": lambda d: d.hex(),
+    "url": lambda d: "".join(f"%{x:02X}" for x in d),
+    "bytes": lambda d: "".join(f"\\x{x:02x}" for x in d),
+    "reference": lambda d: "".join(f"&#{x};" for x in d),
+}
+PACKED = {"gzip": gzip.compress, "zlib": zlib.compress, "plain": bytes, "bz2": bz2.compress}
+
+
+def test_random_nests_are_unwrapped_and_mapped():
+    rng = random.Random(11)
+    for turn in range(150):
+        value = "".join(rng.choices("abcdefXYZ0189", k=rng.randint(6, 20)))
+        data = f"secret: '{value}'".encode()
+        for _ in range(rng.randint(1, 4)):
+            how = rng.choice(list(CODINGS))
+            # References stand for characters, not bytes.
+            data = CODINGS[how](PACKED[rng.choice(list(PACKED)) if how != "reference" else "plain"](data)).encode()
+            data = rng.choice((b"", b"(")) + data + rng.choice((b"", b")", b" "))
+        text = f"é{turn} [" + data.decode() + "]"
+        found = [x for x in secret_spans(text) if x[2].endswith(".assign")]
+        at = text.index("[")
+        assert found and all(at < a < b < len(text) for a, b, _ in found), text
+
+
+def test_layers_end():
     text = "A" * 40
     for _ in range(12):
-        text = base64.b64encode(text.encode()).decode()
-    secret_spans(text)
-    secret_spans(base64.b64encode(gzip.compress(b"a" * 50_000_000)).decode())
+        text = b64(text.encode())
+    assert all(k.split(".")[-1] != "assign" for _, _, k in secret_spans(text))
+    tail = b"token=behindthebomb"
+    assert any(k.endswith("assign") for _, _, k in secret_spans(b64(gzip.compress(b"a" * 5_000_000 + b"\n," + tail))))
+    assert any(k.endswith("assign") for _, _, k in secret_spans(b64(gzip.compress(b"\0" * 80_000_000 + b"," + tail))))
