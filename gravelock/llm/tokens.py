@@ -1,17 +1,16 @@
 """10, Token counts: a tokenizer compiled to a deterministic transducer whose transitions carry emitted-token counts.
 
-The input alphabet is split in two: white space, on which the tokenizer never emits and never joins, and
-everything else. The machine has one boundary state and one state for each word prefix it has seen. A
-transition on a non-space character moves along the prefix tree and emits nothing; a transition on white
-space returns to the boundary state and emits the number of tokens of the word just left. Whole-word paths
-(boundary -> ... -> boundary) are compiled once, on first use, and kept as one annotated transition.
+`transducer.Transducer` is the machine: states and annotated transitions over characters, compiled from the tokenizer
+file's merges when first reached; the tokenizer's library takes no part. ASCII white space leads every state back to the
+boundary state and emits what the state still owes, so a path from boundary to boundary, a word, has one count,
+which `WordCounts` keeps for words that come again.
 
 Because every entry state is forgotten at the first white space, the state map of any chunk of text is the
 small monoid element (head, emitted, tail); `compose` is associative, so the maps of a text's chunks are
-combined by a parallel prefix scan (`scan`), and a chunk may be cut anywhere, also inside a word.
+combined by a parallel prefix scan (`scan`), and a chunk may be cut anywhere, also inside a word or a character.
+Head and tail are the stretches at the chunk's ends that a word across the cut needs; the words within are counted.
 
-Compiling a word: the library's own normaliser and split pattern are applied (fast forms for Latin letters,
-the library itself for anything else), and each piece runs through the library's BPE merges.
+`WordTokens` gives ids instead of counts, for packing, by the library's own merges.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from gravelock.llm.common import batches, doc_text
+from gravelock.llm.transducer import Transducer, byte_alphabet
 
 #: Compiled transitions, and word pieces, kept in a Python worker: in two generations, of which the older goes when
 #: the younger is full, so that frequent words stay (results do not change).
@@ -37,11 +37,22 @@ MAX_WORD = 256
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def byte_alphabet() -> dict[int, str]:
-    """Printable bytes stand for themselves, the others for the characters from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+class WordCounts(dict):
+    """word (UTF-8, no ASCII white space) -> its number of tokens, by the transducer."""
+
+    def __init__(self, path: str):
+        self.machine, self.old = Transducer(path), {}
+
+    def __missing__(self, word: bytes) -> int:
+        n = self.old.get(word)
+        if n is None:
+            n = self.machine.count(word)
+        if len(word) <= MAX_WORD:
+            if len(self) >= MAX_COMPILED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = n
+        return n
 
 
 class WordTokens(dict):
@@ -101,6 +112,12 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
+@lru_cache(maxsize=4)
+def word_counts(path: str) -> WordCounts:
+    """One machine for each Python worker, kept from task to task."""
+    return WordCounts(path)
+
+
 @lru_cache(maxsize=4)
 def word_tokens(path: str) -> WordTokens:
     """One table for each Python worker, kept from task to task."""
@@ -117,8 +134,8 @@ class ChunkMap:
     tail: bytes | None  # None: no boundary in the chunk
 
 
-class CountTransducer:
-    """`count` gives the transducer's annotation for a whole word."""
+class ChunkScan:
+    """`count` gives the transducer's count of a whole word, from boundary to boundary."""
 
     def __init__(self, count: Callable[[bytes], int]):
         self.count = count
@@ -156,13 +173,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text), one output row for each.
 
     Null and empty texts have 0 bytes and 0 tokens; a null doc_id stays null; repeated rows each get a row;
-    an empty table gives an empty result; other columns of docs are ignored, whatever their names.
-    A narrow map: nothing is shuffled, a lost task is simply run again.
+    a very long text is held whole, and its chunks' maps; an empty table gives an empty result; other columns of
+    docs are ignored, whatever their names. A narrow map: nothing is shuffled, a lost task is simply run again.
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_tokens(path)
-        machine = CountTransducer(lambda w: len(table[w]) >> 2)
+        machine = ChunkScan(word_counts(path).__getitem__)
         for b, _, texts in batches(found):
             raw = [t.encode() for t in texts]
             n = [machine.total(t, chunk) for t in raw]

@@ -9,7 +9,9 @@ from llm_cases import AWKWARD, frame
 from tokenizers import Tokenizer
 
 from gravelock.llm.packing import CAPACITY, SumOfSquares, pack
-from gravelock.llm.tokens import CountTransducer, WordTokens, token_counts
+from gravelock.llm import transducer
+from gravelock.llm.tokens import ChunkScan, WordCounts, WordTokens, token_counts
+from gravelock.llm.transducer import Transducer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,9 +32,22 @@ def test_words_equal_the_library(library, sf_dir):
         assert np.frombuffer(table.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_the_transducer_counts_as_the_library_does(library, sf_dir, monkeypatch):
+    rng = random.Random(2)
+    alphabet = "aB'sè É\n ́İσΣ1½<|>endoftxt漢😀​\u0085.ſK-rvl'"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choices("abcdeinorst", k=rng.randint(30, 300))) for _ in range(300)]
+    texts += ["".join(chr(c) for c in (rng.randint(0, 0x3000) for _ in range(rng.randint(1, 12)))) for _ in range(3000)]
+    texts += ["it's we'll 're'x '' 'r 'rx '1 a'v <|endoftext|> x<|startoftext|>y"] + pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()[:120]
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for most in (10**6, 500):  # states are forgotten again and again
+        monkeypatch.setattr(transducer, "MAX_STATES", most)
+        machine = Transducer(PATH)
+        assert [sum(map(machine.count, (t or "").encode().split())) for t in texts] == want
+
+
 def test_chunk_maps_compose_wherever_cut(library):
-    table = WordTokens(PATH)
-    machine = CountTransducer(lambda w: len(table[w]) // 4)
+    machine = ChunkScan(WordCounts(PATH).__getitem__)
     for t in [r[1] or "" for r in AWKWARD if len(r[1] or "") < 2000]:
         want = len(library.encode(t, add_special_tokens=False).ids)
         for chunk in (1, 2, 3, 5, 7, 64, 10**6):
