@@ -32,11 +32,12 @@ def random_spec(n_exploits: int, seed: int, required: tuple = REQUIRED, uses: tu
     exploits = []
     for i in range(n_exploits):
         open_ = [f for f in range(len(facts)) if left[f]]
-        fresh = 0.0 if len(open_) >= n_exploits - i else new
+        if len(open_) >= n_exploits - i:
+            new = 0.0  # for good: from here on only open facts are used, while there are any
         need: list[int] = []
         for _ in range(int(rng.choice(counts, p=required))):
             choice = [f for f in open_ if left[f] and f not in need]
-            if not choice or rng.random() < fresh:
+            if not choice or rng.random() < new:
                 f = add(True)
             else:
                 f = int(rng.choice(choice))
@@ -71,9 +72,9 @@ def size_classes(sizes: DataFrame, size: str = "n_nodes", order: tuple[str, ...]
 
 
 def histogram(values: DataFrame, position: str, value: str, series: str, room: tuple = ROOM) -> DataFrame:
-    """series, group, mean: means of Small, Medium and Large graphs by position, NaN left out; 0 where there is none."""
+    """series, group, mean: means of Small, Medium and Large graphs by position, NaN left out; 0 where there is none. What lies beyond the room of all three is left out."""
     group = F.when(F.col(position) < room[0], "Small").when(F.col(position) < room[0] + room[1], "Medium").otherwise("Large")
-    return values.withColumn("group", group).groupBy(series, "group").agg(F.coalesce(F.avg(F.when(~F.isnan(value), F.col(value))), F.lit(0.0)).alias("mean"))
+    return values.where(F.col(position) < sum(room)).withColumn("group", group).groupBy(series, "group").agg(F.coalesce(F.avg(F.when(~F.isnan(value), F.col(value))), F.lit(0.0)).alias("mean"))
 
 
 def bars(groups: DataFrame, series: str) -> DataFrame:

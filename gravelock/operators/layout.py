@@ -71,16 +71,18 @@ def zones(placed: DataFrame) -> DataFrame:
     return d.withColumn("_new", new).withColumn("zone", F.sum("_new").over(own)).drop("_new")
 
 
-def zone_points(placed: DataFrame, wide: float = 0.2, high: float = 0.3) -> DataFrame:
-    """graph_id, cluster, zone, points: the outline of each zone, from the left side down, along the bottom, up the
-    right side, back along the top; a layer's top and bottom are its outer nodes', with a margin."""
-    ends = placed.groupBy("graph_id", "cluster", "layer").agg(F.min("x").alias("x"), (F.min("y") - high).alias("lo"), (F.max("y") + high).alias("hi"))
-    d = zones(placed).join(ends, ["graph_id", "cluster", "layer"])
-    d = d.groupBy("graph_id", "cluster", "zone").agg(F.array_sort(F.collect_list(F.struct("layer", "x", "lo", "hi"))).alias("l"))
-    point = lambda x, y: F.struct(F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
-    a, z = F.element_at("l", 1), F.element_at("l", -1)
-    left = F.array(point(a["x"] - wide, a["hi"]), point(a["x"] - wide, a["lo"]))
-    right = F.array(point(z["x"] + wide, z["lo"]), point(z["x"] + wide, z["hi"]))
-    bottom = F.transform("l", lambda e: point(e["x"], e["lo"]))
-    top = F.reverse(F.transform("l", lambda e: point(e["x"], e["hi"])))
-    return d.select("graph_id", "cluster", "zone", F.concat(left, bottom, right, top).alias("points"))
+def zone_points(placed: DataFrame, wide: float = 0.2, high: float = 0.3, node: str = "node_id") -> DataFrame:
+    """graph_id, cluster, zone, points: the outline of each zone. Down the nodes of its first layer, each moved left;
+    along the lowest node of each layer, moved down; up the nodes of its last layer, moved right; back along the
+    highest node of each layer, moved up. Margins are shares of the axis distances (with one layer: no margin)."""
+    d = zones(placed).join(placed.select("graph_id", "cluster", "layer", "x", "y", F.col(node).alias("_node")), ["graph_id", "cluster", "layer"])
+    nodes = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "_node", "x")))  # from the top
+    d = d.groupBy("graph_id", "cluster", "zone", "layer").agg(nodes.alias("nodes"))
+    d = d.groupBy("graph_id", "cluster", "zone").agg(F.array_sort(F.collect_list(F.struct("layer", "nodes"))).alias("l")).join(axis_distances(placed), "graph_id", "left")
+    right, up = wide * F.coalesce("horizontal", F.lit(0.0)), high * F.col("vertical")
+    point = lambda n, dx=F.lit(0.0), dy=F.lit(0.0): F.struct(F.round(n["x"] + dx, 6).alias("x"), F.round(dy - n["down"], 6).alias("y"))
+    left_side = F.transform(F.element_at("l", 1)["nodes"], lambda n: point(n, -right))
+    bottom = F.transform("l", lambda e: point(F.element_at(e["nodes"], -1), dy=-up))
+    right_side = F.transform(F.reverse(F.element_at("l", -1)["nodes"]), lambda n: point(n, right))
+    top = F.reverse(F.transform("l", lambda e: point(F.element_at(e["nodes"], 1), dy=up)))
+    return d.select("graph_id", "cluster", "zone", F.concat(left_side, bottom, right_side, top).alias("points"))

@@ -110,7 +110,7 @@ def on_vectors(measure) -> Callable:
 
 
 def kmeans_sweep(spark, d):
-    k, score, found = c.sweep(v.vectors(spark, d), 2, 6, "ch")
+    k, score, found = c.sweep(v.vectors(spark, d), 2, 15, "ch")
     return found.groupBy("label").agg(F.count("*").alias("n")).withColumns({"k": F.lit(k), "score": F.lit(score)})
 
 
@@ -137,7 +137,7 @@ def hope(spark, d):
 
 
 def deep_walk(spark, d):
-    return emb.deep_walk(c.undirected(v.trade(spark, d)), v.regions(spark, d), length=20, per_node=5)
+    return emb.deep_walk(c.undirected(v.trade(spark, d)), v.regions(spark, d))
 
 
 def sage(spark, d):
@@ -163,7 +163,7 @@ def zones(spark, d):
 
 
 def zone_points(spark, d):
-    p = layout.zone_points(v.placed(spark, d))
+    p = layout.zone_points(v.placed(spark, d).withColumns({"x": F.col("x") * 2.5, "y": F.col("y") * 1.5}))
     return p.select("cluster", "zone", F.posexplode("points").alias("nth", "p")).select("cluster", "zone", "nth", "p.x", "p.y")
 
 

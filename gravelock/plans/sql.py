@@ -161,15 +161,17 @@ SELECT round(avg(CASE WHEN greatest(own, other) > 0 THEN (other - own) / greates
     "layers_dependency": with_(X, f"{DEP_E}, k AS (SELECT 8 AS node, 0 AS far UNION SELECT de.src, k.far + 1 FROM k JOIN de ON de.dst = k.node), f AS (SELECT node, max(far) AS far FROM k GROUP BY node) SELECT node::INT AS node_id, ((SELECT max(far) FROM f) - far)::INT AS layer FROM f"),
     "reposition": f"WITH {PLACED} a AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY cluster, node_id) AS n FROM pl), b AS (SELECT layer, y, row_number() OVER (PARTITION BY layer ORDER BY y DESC, node_id) AS n FROM pl) SELECT a.node_id, a.layer, a.cluster, b.y FROM a JOIN b ON a.layer = b.layer AND a.n = b.n",
     "zones": f"WITH {ZONES} SELECT cluster, zone, layer FROM z",
-    "zone_points": f"WITH {ZONES}, g AS (SELECT cluster, layer, min(x) AS x, min(y) - 0.3::DOUBLE AS lo, max(y) + 0.3::DOUBLE AS hi FROM pl GROUP BY 1, 2), "
-    "q AS (SELECT cluster, zone, layer, x, lo, hi, row_number() OVER (PARTITION BY cluster, zone ORDER BY layer) AS k, count(*) OVER (PARTITION BY cluster, zone) AS n FROM z JOIN g USING (cluster, layer)), "
-    "p AS (SELECT cluster, zone, 0 AS nth, x - 0.2 AS x, hi AS y FROM q WHERE k = 1 UNION ALL SELECT cluster, zone, 1, x - 0.2, lo FROM q WHERE k = 1 UNION ALL SELECT cluster, zone, 1 + k, x, lo FROM q "
-    "UNION ALL SELECT cluster, zone, 2 + n, x + 0.2, lo FROM q WHERE k = n UNION ALL SELECT cluster, zone, 3 + n, x + 0.2, hi FROM q WHERE k = n UNION ALL SELECT cluster, zone, 4 + n + n - k, x, hi FROM q) "
-    "SELECT cluster, zone, nth::INT AS nth, round(x, 6) AS x, round(y, 6) AS y FROM p",
+    "zone_points": f"WITH {ZONES}, s AS (SELECT node_id, layer, cluster, x * 2.5::DOUBLE AS x, y * 1.5::DOUBLE AS y FROM pl), "
+    "crowd AS (SELECT min(layer) AS l FROM (SELECT layer FROM s GROUP BY layer HAVING count(*) > 1)), one AS (SELECT y FROM s, crowd WHERE layer = l), "
+    "ax AS (SELECT (SELECT min(x) FROM s WHERE x > (SELECT min(x) FROM s)) - (SELECT min(x) FROM s) AS h, (SELECT min(y - (SELECT min(y) FROM one)) FROM one WHERE y > (SELECT min(y) FROM one)) AS v), "
+    "m AS (SELECT s.*, z.zone, min(s.layer) OVER zz AS first, max(s.layer) OVER zz AS last, row_number() OVER (PARTITION BY cluster, s.layer ORDER BY y) AS low, row_number() OVER (PARTITION BY cluster, s.layer ORDER BY y DESC) AS top FROM s JOIN z USING (cluster, layer) WINDOW zz AS (PARTITION BY cluster, z.zone)), "
+    "p AS (SELECT cluster, zone, 0 AS side, -y AS k, x - 0.2::DOUBLE * h AS x, y FROM m, ax WHERE layer = first UNION ALL SELECT cluster, zone, 1, layer, x, y - 0.3::DOUBLE * v FROM m, ax WHERE low = 1 "
+    "UNION ALL SELECT cluster, zone, 2, y, x + 0.2::DOUBLE * h, y FROM m, ax WHERE layer = last UNION ALL SELECT cluster, zone, 3, -layer, x, y + 0.3::DOUBLE * v FROM m, ax WHERE top = 1) "
+    "SELECT cluster, zone, (row_number() OVER (PARTITION BY cluster, zone ORDER BY side, k) - 1)::INT AS nth, round(x, 6) AS x, round(y, 6) AS y FROM p",
     "axis_distances": f"WITH {PLACED} xs AS (SELECT DISTINCT x FROM pl ORDER BY x LIMIT 2), one AS (SELECT min(layer) AS l FROM (SELECT layer FROM pl GROUP BY layer HAVING count(*) > 1)), h AS (SELECT y FROM pl, one WHERE layer = l) SELECT max(x) - min(x) AS horizontal, (SELECT min(abs(y - (SELECT min(y) FROM h))) FROM h WHERE y <> (SELECT min(y) FROM h)) AS vertical FROM xs",
     "dataset_buckets": f"WITH {SIZES}, b AS (SELECT *, CASE WHEN n_nodes < 1000 THEN 0 WHEN n_nodes < 10000 THEN 1 ELSE 2 END AS set FROM sz), c AS (SELECT *, row_number() OVER (PARTITION BY set ORDER BY s_suppkey) AS n FROM b) SELECT s_suppkey, n_nodes, set FROM c WHERE n <= [40, 40, 20][set + 1]",
     "dataset_ith": f"WITH {SIZES} SELECT s_suppkey, n_nodes FROM sz ORDER BY n_nodes, s_suppkey LIMIT 1 OFFSET 7",
-    "histogram_groups": "WITH h AS (SELECT 'm' || (s_suppkey % 3) AS method, CASE WHEN s_suppkey - 1 < 40 THEN 'Small' WHEN s_suppkey - 1 < 80 THEN 'Medium' ELSE 'Large' END AS \"group\", CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS value FROM supplier) SELECT method, \"group\", round(coalesce(avg(value), 0), 4) AS mean FROM h GROUP BY method, \"group\"",
+    "histogram_groups": "WITH h AS (SELECT 'm' || (s_suppkey % 3) AS method, CASE WHEN s_suppkey - 1 < 40 THEN 'Small' WHEN s_suppkey - 1 < 80 THEN 'Medium' ELSE 'Large' END AS \"group\", CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS value FROM supplier WHERE s_suppkey - 1 < 100) SELECT method, \"group\", round(coalesce(avg(value), 0), 4) AS mean FROM h GROUP BY method, \"group\"",
     "exploit_labels": "SELECT doc_id, doc_id || ': ' || array_to_string(list_slice(string_split(text, ' '), 1, 20), ' ') AS label FROM documents",
     "sanitize": "SELECT p_partkey, lower(replace(p_name, ' ', '_')) AS name FROM part",
 }
