@@ -40,20 +40,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gravelock/{uuid.uuid4().hex}/{name}"
 
 
-#: Spark deletes a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is stored: Spark deletes the query's shuffle files when it ends; batches for Python stay small.
+WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors. The shuffle files of the plan go at once."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    was = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    was = {k: spark.conf.get(k) for k in WHILE_STORED}
     try:
+        for k, v in WHILE_STORED.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -76,8 +78,10 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def batches(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list]]:
-    """(batch, doc_ids, texts) for each batch of rows that has both columns."""
-    for b in found:
-        if b.num_rows:
+def batches(found: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """(batch, doc_ids, texts) for each part of `rows` rows: few texts are Python objects at a time."""
+    for whole in found:
+        for at in range(0, whole.num_rows, rows):
+            b = whole.slice(at, rows)
             yield b, b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+        pa.default_memory_pool().release_unused()

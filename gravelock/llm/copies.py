@@ -57,6 +57,7 @@ def slices(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
             some = counts > 0
             if some.any():
                 yield part.column("text_key").to_numpy()[some], lists.flatten().to_numpy(), counts[some].astype(np.int64)
+        pa.default_memory_pool().release_unused()
 
 
 def prefixes(features: DataFrame, late: LongSet, dense: LongSet) -> DataFrame:
@@ -83,6 +84,7 @@ def bodies(features: DataFrame, keys: LongSet) -> DataFrame:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
                 yield part.filter(pa.array(keys.within(part.column("text_key").to_numpy(), maps)))
+            pa.default_memory_pool().release_unused()
 
     kept = features.select("text_key", "shingles").mapInArrow(run, "text_key long, shingles array<long>")
     return kept.groupBy(F.col("text_key").alias("key")).agg(F.first("shingles").alias("shingles"))

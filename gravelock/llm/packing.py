@@ -178,10 +178,11 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                 known[row] = (doc_id, len(ids) // 4)
                 put(packer.add(row, ids))
                 row += 1
-            if packer.n_open < len(known) // 2:  # forget the documents that have no piece in an open window
+            if packer.n_open < len(known) // 2 and len(known) > 10_000:  # forget the documents that have no piece in an open window
                 kept = {p[0] for level in packer.open for w in level for p in w}
                 known = {k: known[k] for k in kept}
-            yield flush()
+            if len(out[0]) > 10_000:
+                yield flush()
         put(packer.top_up(last=True))
         yield flush()
 

@@ -29,7 +29,7 @@ from gravelock.llm.transducer import Transducer, byte_alphabet
 
 #: Compiled transitions, and word pieces, kept in a Python worker: in two generations, of which the older goes when
 #: the younger is full, so that frequent words stay (results do not change).
-MAX_COMPILED, MAX_PIECES = 350_000, 250_000
+MAX_COMPILED, MAX_PIECES = 250_000, 150_000
 CHUNK_BYTES = 1 << 16
 #: Beyond this, a word is tokenized without being kept.
 MAX_WORD = 256
