@@ -2,13 +2,14 @@
 
 A text of n shingles shares at least ceil(0.8 n) of them with such a partner, so under any one order of all
 shingles the first n - ceil(0.8 n) + 1 of both (their prefixes) have one in common: pairs that meet in a prefix
-are all there are. The order is by hash, with shingles met in over DENSE prefixes last, so that a passage of
+are all there are. The order is by hash, with shingles of over DENSE rows last, so that a passage of
 many documents brings texts together only if it is most of what they say. Of a pair, the number of shared
 prefix shingles bounds what it can share in all; pairs under the bound go before any text is looked at.
 
-Shingles in over DENSE prefixes even so are not paired at first: each text is held against one text of the
-shingle's group, in ROUNDS rounds, and what is linked by then is one. All pairs that are left between
-different components are then held against each other, so no pair is missed, whatever the group.
+Late shingles that are in prefixes even so are not paired at first: each text is held against one text of the
+shingle's group, in ROUNDS rounds, and what is linked by then is one. Of the pairs that are left between different
+components, those that share an early shingle have met by it; the others can only share late ones, and
+those that have enough of them for that are held against each other. So no pair is missed, whatever the group.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from gravelock.llm.common import discard, stored
 from gravelock.llm.files import LongSet, Mapped
 from gravelock.llm.graphs import components
 
-DENSE, ROUNDS, SLICE = 16, 2, 512
+DENSE, ROUNDS, SLICE = 16, 3, 512
 PREFIX = "token long, key long, n long, h long, hot boolean"
 
 
@@ -60,15 +61,15 @@ def slices(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
         pa.default_memory_pool().release_unused()
 
 
-def prefixes(features: DataFrame, late: LongSet, dense: LongSet) -> DataFrame:
-    """A row for each prefix shingle: its text's key, number of shingles, number of `dense` ones in the prefix, and if it is one."""
+def prefixes(features: DataFrame, late: LongSet) -> DataFrame:
+    """A row for each prefix shingle: its text's key, number of shingles, number of `late` ones in the prefix, and if it is one."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = Mapped()
         for keys, values, counts in slices(found):
-            marks = prefix_marks(counts, late.within(values, maps))
-            text, token = np.repeat(np.arange(len(counts)), counts)[marks], values[marks]
-            hot = dense.within(token, maps)
+            last = late.within(values, maps)
+            marks = prefix_marks(counts, last)
+            text, token, hot = np.repeat(np.arange(len(counts)), counts)[marks], values[marks], last[marks]
             h = np.bincount(text, weights=hot, minlength=len(counts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(keys[text]), pa.array(counts[text]), pa.array(h[text]), pa.array(hot)], ["token", "key", "n", "h", "hot"])
 
@@ -100,6 +101,12 @@ def enough(common: Column, a: Column, b: Column) -> Column:
     return 9 * common >= 4 * (a + b)
 
 
+def without_cold(n: Column, c: Column, n2: Column, c2: Column) -> Column:
+    """If two texts with late shingles in their prefixes, that share no other, can have enough. All their other shingles
+    (c, c2) are in their prefixes, where they would have met, so they only can share the late ones."""
+    return enough(F.least(n - c, n2 - c2), n, n2)
+
+
 def possible(met: Column, a: Column, b: Column) -> Column:
     """If a pair with `met` common prefix shingles can have enough: all others come after one of the prefixes."""
     after = lambda n: F.floor((4 * n + 4) / 5) - 1
@@ -146,16 +153,11 @@ def apart(table: DataFrame) -> DataFrame:
 def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
     """features: text_key, shingles (different ones, in unsigned order; a key's rows are equal). known: links
     (u, v) that hold anyway. Links that, with the known ones, give the components that all pairs alike give."""
-    none = order = late = LongSet()
-    met: DataFrame | None = None
-    for _ in range(2):
-        order = late
-        many = prefixes(features, order, none).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token")
-        met = stored(many if met is None else met.union(many), "late")
-        late = LongSet(met)
-    rows = stored(prefixes(features, order, late), "prefixes")
-    for x in (order, late):
-        x.remove(features)
+    met = features.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token")
+    met = stored(met, "late")
+    late = LongSet(met)
+    rows = stored(prefixes(features, late), "prefixes")
+    late.remove(features)
     pairs = stored(cold_pairs(rows), "pairs")
     dense = stored(rows.where("hot").select("token", "key", "n", (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("h")).alias("c")).distinct(), "dense")
     discard(rows, met)
@@ -176,7 +178,7 @@ def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
     roots = components(links)
     a = stored(apart(rooted(dense, "key", roots, "root")), "parts")
     b = a.select("token", *(F.col(x).alias(f"{x}2") for x in ("key", "n", "c", "root")))
-    rest = a.join(b, "token").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & sized(F.col("n"), F.col("n2")))
+    rest = a.join(b, "token").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & without_cold(*map(F.col, ("n", "c", "n2", "c2"))))
     rest = rest.groupBy(F.col("key").alias("u"), F.col("key2").alias("v")).agg(F.count("*").alias("met"), *(F.first(x).alias(x) for x in ("n", "n2", "c", "c2")))
     rest = rest.where(possible(F.col("met") + F.least("c", "c2"), F.col("n"), F.col("n2"))).select("u", "v")
     few = rooted(rooted(pairs, "u", roots, "ru"), "v", roots, "rv").where("ru <> rv").select("u", "v")
