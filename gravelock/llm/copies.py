@@ -15,6 +15,7 @@ those that have enough of them for that are held against each other. So no pair
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from gravelock.llm.files import LongSet, Mapped
 from gravelock.llm.graphs import components
 
 DENSE, ROUNDS, SLICE = 16, 3, 512
+#: A power of two.
+TURNS = 4
 PREFIX = "token long, key long, n long, h long, hot boolean"
 
 
@@ -76,6 +79,17 @@ def prefixes(features: DataFrame, late: LongSet) -> DataFrame:
     return features.select("text_key", "shingles").mapInArrow(run, PREFIX)
 
 
+def frequent(features: DataFrame, k: int) -> DataFrame:
+    """The shingles (token) of more than DENSE rows, of the k-th of TURNS ranges: one range is shuffled at a time."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, values, _ in slices(found):
+            own = values.view(np.uint64) >> np.uint64(64 - (TURNS - 1).bit_length()) == k
+            yield pa.RecordBatch.from_arrays([pa.array(values[own])], ["token"])
+
+    return features.select("text_key", "shingles").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token")
+
+
 def bodies(features: DataFrame, keys: LongSet) -> DataFrame:
     """key, shingles of the texts with these keys, once each."""
 
@@ -153,14 +167,13 @@ def apart(table: DataFrame) -> DataFrame:
 def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
     """features: text_key, shingles (different ones, in unsigned order; a key's rows are equal). known: links
     (u, v) that hold anyway. Links that, with the known ones, give the components that all pairs alike give."""
-    met = features.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token")
-    met = stored(met, "late")
-    late = LongSet(met)
+    parts = [stored(frequent(features, k), "late") for k in range(TURNS)]
+    late = LongSet(reduce(DataFrame.union, parts))
     rows = stored(prefixes(features, late), "prefixes")
     late.remove(features)
     pairs = stored(cold_pairs(rows), "pairs")
     dense = stored(rows.where("hot").select("token", "key", "n", (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("h")).alias("c")).distinct(), "dense")
-    discard(rows, met)
+    discard(rows, *parts)
     both = pairs.union(pairs.select("v", "u", "met"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
     links, tested = known, None
