@@ -15,6 +15,7 @@ Head and tail are the stretches at the chunk's ends that a word across the cut n
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,6 +42,7 @@ class WordCounts(dict):
     """word (UTF-8, no ASCII white space) -> its number of tokens, by the transducer."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.machine, self.old = Transducer(path), {}
 
     def __missing__(self, word: bytes) -> int:
@@ -180,8 +182,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ChunkScan(word_counts(path).__getitem__)
         for b, _, texts in batches(found):
+            gc.disable()  # the machine's many tuples form no cycles, and need not be searched for them
             raw = [t.encode() for t in texts]
             n = [machine.total(t, chunk) for t in raw]
+            gc.enable()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -20,7 +20,7 @@ import json
 import unicodedata
 
 #: Kept states, and pairs of tokens that are known to be neighbours or not.
-MAX_STATES, MAX_PAIRS = 150_000, 400_000
+MAX_STATES, MAX_PAIRS = 450_000, 1_000_000
 #: Unicode white space beyond ASCII (fixed values).
 SPACES = frozenset(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Contractions that are pieces of their own (fixed values): after an apostrophe that begins a piece.
@@ -50,6 +50,13 @@ class Merges:
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.parts = {a + b: (a, b) for a, b in self.rank}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        #: The longest token that ends with a symbol after another one.
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            body = t.removesuffix(self.end) if len(t) > len(self.end) else t
+            if len(body) > 1:
+                ending = body[-2:] + t[len(body) :]
+                self.reach[ending] = max(self.reach.get(ending, 0), len(body))
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -99,22 +106,27 @@ class Transducer:
         self.rest: dict[int, int] = {}
         self.number(START)
 
-    def number(self, state: State) -> int:
-        n = self.numbers.get(state)
+    def number(self, state: State, known: bool = True) -> int:
+        """known: another path may have led to the state before."""
+        n = self.numbers.get(state) if known else None
         if n is None:
-            n = self.numbers[state] = len(self.states)
+            n = len(self.states)
+            if known:
+                self.numbers[state] = n
             self.states.append(state)
             self.go.append({})
         return n
 
     def last_token(self, kept: str, lasts: tuple, counts: tuple, symbol: str) -> tuple[str, int]:
         """The last token once `symbol` follows the kept ones, and the number of tokens then."""
-        m = self.merges
-        for n in range(min(m.longest, len(kept) + 1) - 1, -1, -1):  # n kept symbols belong to it
-            token = kept[len(kept) - n :] + symbol
-            at = len(kept) - n
-            if token in m.vocab and (lasts[at] is not None or at == 0) and m.neighbours(lasts[at], token):
-                return token, counts[at] + 1
+        m, size = self.merges, len(kept)
+        vocab, pairs = m.vocab, m.pairs
+        for at in range(max(0, size + 1 - m.reach.get(kept[-1:] + symbol, 1)), size + 1):  # kept symbols from here belong to it
+            token = kept[at:] + symbol
+            if token in vocab and (lasts[at] is not None or at == 0):
+                known = pairs.get((lasts[at], token))
+                if known or known is None and m.neighbours(lasts[at], token):
+                    return token, counts[at] + 1
         raise ValueError(f"no token ends with {symbol!r}")
 
     def ended(self, state: State) -> int:
@@ -181,8 +193,10 @@ class Transducer:
         for c in text:
             to = go[at].get(c)
             if to is None:
-                state, emitted = self.step(self.states[at], c)
-                to = go[at][c] = (self.number(state), emitted)
+                before = self.states[at]
+                state, emitted = self.step(before, c)
+                # A piece that goes on, with all its bytes kept, has been reached by no other path.
+                to = go[at][c] = (self.number(state, state[0] != before[0] or len(state[2]) >= self.merges.longest - 4), emitted)
             at = to[0]
             n += to[1]
         rest = self.rest.get(at)
