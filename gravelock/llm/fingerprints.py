@@ -10,8 +10,8 @@ The difference of two digests adds: per bucket the distance of the codes (0 to 3
 difference in length (12 for each step past one) and in the ratios (12 for each step past one). `likeness` is
 1 - difference / BOUND, at least 0; equal digests have 1.
 
-The edited text needs the next document: documents are dealt by ranges of doc_id, each range's first
-document is sent to the range before it as well, and each range is streamed in order.
+The edited text needs the next document: documents are dealt by ranges of doc_id, each range is streamed in
+order, and the texts at the ranges' ends are joined afterwards.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravelock.llm.common import doc_text
+from gravelock.llm.common import doc_text, stored
 
 BUCKETS = 128
 #: A difference that counts as none alike.
@@ -34,6 +34,8 @@ A, B, C, SALT = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27
 #: The six triplets of a window, as places counted back from its last byte.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 BLOCK = 1 << 20
+#: Characters of a text that its range goes by, among rows of one doc_id.
+OPENING = 64
 
 
 def bucket_counts(data: bytes) -> np.ndarray:
@@ -95,55 +97,63 @@ def edited(text: str, following: str) -> str:
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+#: What a range gives: its finished rows (side null), and the texts at its two ends, whose neighbours are elsewhere.
+HEAD, TAIL = 0, 1
+ENDS = SCHEMA + ", part int, side int, text string"
+
+
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = pa.schema([(x.split()[0], KINDS[x.split()[1]]) for x in schema.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.types, strict=True)], schema=fields)
+
+
+def compared(doc_id: int | None, text: str, digest: str, after: str, after_digest: str) -> tuple:
+    """The row (SCHEMA) of a text that `after` follows."""
+    other = edited(text, after)
+    own = fingerprint(other)
+    return doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), digest, own, likeness(digest, own), likeness(digest, after_digest)
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): SCHEMA; the next document is that of the next smaller doc_id, after the last the first.
 
-    Null texts count as empty; a null doc_id comes last; rows of equal doc_id follow each other by text, so
+    Null texts count as empty; a null doc_id comes last; rows of equal doc_id (or none) follow each other by text, so
     repeated rows are each other's next document; a single row is its own next; an empty table gives an
-    empty result; other columns are ignored. One shuffle of the texts, by ranges of doc_id; the driver only
-    sees the ranges' bounds. A task streams its range and holds two documents and one batch.
+    empty result; other columns are ignored. One shuffle of the texts, by ranges of doc_id and the text's first
+    characters; a task streams its range and holds two documents and one batch, however long they are. The first and
+    last text of each range meet those of their neighbours in a join by range number; the driver only sees which
+    ranges have rows.
     """
     spark = docs.sparkSession
     d = doc_text(docs)
-    # Bounds: quantiles of doc_id, so that ranges are even for any ids. Equal ids never part.
-    n_ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), d.rdd.getNumPartitions())
-    known = d.where("doc_id IS NOT NULL")
-    cuts = sorted(set(known.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges) or []) if n_ranges > 1 else set())
-    cuts = [int(c) for c in cuts]
-    bucket = (F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("doc_id")))) if cuts else F.lit(0)
-    ranged = d.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket).cast("int"))
-    heads = {r["bucket"]: r["head"] for r in ranged.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # a row for each range
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    # The head of a range goes to the range before it too (the very first to the last), marked as a guest.
-    also = F.coalesce(*[F.when((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(heads[b])), F.array(F.struct(F.lit(b).alias("to"), F.lit(False).alias("guest")), F.struct(F.lit(before[b]).alias("to"), F.lit(True).alias("guest")))) for b in order], F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")))) if order else F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")))
-    dealt = ranged.withColumn("_", F.explode(also)).select("doc_id", "text", "_.to", "_.guest")
-    dealt = dealt.repartitionByRange(max(1, len(order)), "to").sortWithinPartitions("to", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), d.rdd.getNumPartitions())
+    by = F.col("doc_id").desc_nulls_last()
+    dealt = d.repartitionByRange(n, by, F.substring("text", 1, OPENING)).sortWithinPartitions(by, "text").withColumn("part", F.spark_partition_id())
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen_guest = None, False  # (range, doc_id, text, fingerprint, UTF-8)
-
-        def row(now: tuple, text: str, digest: str) -> tuple:
-            other = edited(now[2], text)
-            own = fingerprint(other)
-            return now[1], len(now[2]), hashlib.sha256(other.encode()).hexdigest(), now[3], own, likeness(now[3], own), likeness(now[3], digest)
-
+        last, part = None, 0  # doc_id, text, fingerprint of the row before
         for b in found:
             out = []
-            for to, guest, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("to", "guest", "doc_id", "text")), strict=True):
-                if guest and seen_guest:
-                    continue  # further rows of the next range's head
+            for i, t, p in zip(b.column("doc_id"), b.column("text"), b.column("part"), strict=True):
+                doc_id, text, part = i.as_py(), t.as_py(), p.as_py()
                 digest = fingerprint(text)
-                if last and last[0] == to:
-                    out.append(row(last, text, digest))
-                last, seen_guest = (None if guest else (to, doc_id, text, digest)), guest
+                out.append((*compared(*last, text, digest), part, None, None) if last else (*[None] * 7, part, HEAD, text))
+                last = doc_id, text, digest
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
-
-    return dealt.mapInArrow(run, SCHEMA)
+                yield batch(out, ENDS)
+        if last:
+            yield batch([(last[0], *[None] * 6, part, TAIL, last[1])], ENDS)
 
-
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-KINDS = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
+    def close(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for doc_id, text, after in zip(*b.columns, strict=True):  # a row at a time: an end may be very long
+                text, after = text.as_py(), after.as_py()
+                yield batch([compared(doc_id.as_py(), text, fingerprint(text), after, fingerprint(after))], SCHEMA)
+
+    table = stored(dealt.mapInArrow(run, ENDS), "fingerprints")
+    parts = sorted(r["part"] for r in table.where(F.col("side") == HEAD).select("part").collect())  # a number for each range
+    follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
+    heads = table.where(F.col("side") == HEAD).select(F.col("part").alias("next"), F.col("text").alias("after"))
+    ends = table.where(F.col("side") == TAIL).select("part", "doc_id", "text").join(follows, "part").join(heads, "next").select("doc_id", "text", "after")
+    return table.where("side IS NULL").select(*(x.split()[0] for x in SCHEMA.split(", "))).union(ends.mapInArrow(close, SCHEMA))

@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import re
 import textwrap
@@ -51,6 +52,45 @@ def test_difference_is_bounded_symmetric_and_grows_with_edits():
     assert likeness(fingerprint(text), fingerprint(text)) == 1 and len(fingerprint("")) == len(fingerprint(text)) == 68
 
 
+def plain_digest(text):
+    """The digest from its definition, without NumPy or the operator's code."""
+    data = text.encode()
+    counts = brute_counts(data)
+    ordered = sorted(counts)
+    q1, q2, q3 = ordered[31], ordered[63], ordered[95]
+    codes = "".join(f"{sum(c > q for q in (q1, q2, q3)):02b}" for c in counts)
+    size = min(255, int(math.log(1 + len(data)) / math.log(1.15)))
+    ratios = [min(15, 16 * q // q3) if q3 else 0 for q in (q1, q2)]
+    return f"{size:02x}{ratios[0]:x}{ratios[1]:x}{int(codes, 2):064x}"
+
+
+def plain_likeness(a, b):
+    total = 0
+    for k in range(128):
+        d = abs((int(a[4:], 16) >> 2 * k & 3) - (int(b[4:], 16) >> 2 * k & 3))
+        total += 6 if d == 3 else d
+    for at, to in ((0, 2), (2, 3), (3, 4)):
+        d = abs(int(a[at:to], 16) - int(b[at:to], 16))
+        total += d if d < 2 else 12 * (d - 1)
+    return max(0.0, 1.0 - total / 300)
+
+
+def test_digest_and_likeness_by_their_definition(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(25).collect()] + ["", "a", "abc", "aaaa" * 50, "漢字 😀"]
+    texts = [t[:3000] for t in texts]
+    digests = [plain_digest(t) for t in texts]
+    assert digests == [fingerprint(t) for t in texts]
+    for a in digests:
+        for b in digests:
+            assert plain_likeness(a, b) == likeness(a, b)
+
+
+def test_ranges_without_ids_are_split_by_text(spark):
+    rows = [(None, f"text number {i}") for i in range(40)] + [(7, "same")] * 5
+    got = sorted(map(tuple, fingerprints(frame(spark, rows), 9).collect()), key=str)
+    assert got == expected(rows)
+
+
 def expected(docs):
     order = sorted(docs, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     out = []
