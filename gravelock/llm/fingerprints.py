@@ -155,5 +155,5 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     parts = sorted(r["part"] for r in table.where(F.col("side") == HEAD).select("part").collect())  # a number for each range
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
     heads = table.where(F.col("side") == HEAD).select(F.col("part").alias("next"), F.col("text").alias("after"))
-    ends = table.where(F.col("side") == TAIL).select("part", "doc_id", "text").join(follows, "part").join(heads, "next").select("doc_id", "text", "after")
+    ends = table.where(F.col("side") == TAIL).select("part", "doc_id", "text").join(follows, "part").join(heads.hint("merge"), "next").select("doc_id", "text", "after")
     return table.where("side IS NULL").select(*(x.split()[0] for x in SCHEMA.split(", "))).union(ends.mapInArrow(close, SCHEMA))
