@@ -2,8 +2,9 @@
 
 A text of n shingles shares at least ceil(0.8 n) of them with such a partner, so under any one order of all
 shingles the first n - ceil(0.8 n) + 1 of both (their prefixes) have one in common: pairs that meet in a prefix
-are all there are. The order is by hash, with shingles of over DENSE rows last, so that a passage of
-many documents brings texts together only if it is most of what they say. Of a pair, the number of shared
+are all there are. The order is by hash, with late shingles, those of over DENSE rows, after the others and in
+steps of frequency (STEPS), so that a passage of many documents brings texts together only if it is most of what
+they say, and what fewer documents say comes before it. Of a pair, the number of shared
 prefix shingles bounds what it can share in all; pairs under the bound go before any text is looked at.
 
 Late shingles that are in prefixes even so are not paired at first: each text is held against one text of the
@@ -27,6 +28,8 @@ from gravelock.llm.files import LongSet, Mapped
 from gravelock.llm.graphs import components
 
 DENSE, ROUNDS, SLICE = 16, 3, 512
+#: Shingles of more rows than each of these come later, those of the most rows last.
+STEPS = (DENSE, 8 * DENSE, 64 * DENSE, 1024 * DENSE)
 #: A power of two.
 TURNS = 4
 PREFIX = "token long, key long, n long, h long, hot boolean"
@@ -37,18 +40,22 @@ def least_common(n: np.ndarray) -> np.ndarray:
     return (4 * n + 4) // 5
 
 
-def prefix_marks(counts: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """counts: the texts' numbers of shingles, which stand one after another, each text's in order of hash; marks the prefixes if those marked in `last` come last."""
-    starts = np.cumsum(counts) - counts
+def prefix_marks(counts: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """counts: the texts' numbers of shingles, which stand one after another, each text's in order of hash; marks the prefixes if those of a lower level come first."""
     text = np.repeat(np.arange(len(counts)), counts)
-
-    def rank(mask: np.ndarray) -> np.ndarray:
-        upto = np.concatenate(([0], np.cumsum(mask)))
-        return upto[:-1] - upto[starts][text]
-
-    room = counts - least_common(counts) + 1
-    early = np.bincount(text, weights=~last, minlength=len(counts)).astype(np.int64)
-    return np.where(last, rank(last) < (room - early)[text], rank(~last) < room[text])
+    by = np.lexsort((level, text))  # keeps the texts where they are
+    marks = np.empty(len(level), bool)
+    marks[by] = np.arange(len(level)) - (np.cumsum(counts) - counts)[text] < (counts - least_common(counts) + 1)[text]
+    return marks
+
+
+def levels(values: np.ndarray, late: list[LongSet], maps: Mapped) -> np.ndarray:
+    """How many of the sets, each within the one before it, hold a value."""
+    out, at = np.zeros(len(values), np.int8), np.arange(len(values))
+    for s in late:
+        at = at[s.within(values[at], maps)]
+        out[at] += 1
+    return out
 
 
 def slices(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -64,15 +71,15 @@ def slices(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
         pa.default_memory_pool().release_unused()
 
 
-def prefixes(features: DataFrame, late: LongSet) -> DataFrame:
+def prefixes(features: DataFrame, late: list[LongSet]) -> DataFrame:
     """A row for each prefix shingle: its text's key, number of shingles, number of `late` ones in the prefix, and if it is one."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = Mapped()
         for keys, values, counts in slices(found):
-            last = late.within(values, maps)
-            marks = prefix_marks(counts, last)
-            text, token, hot = np.repeat(np.arange(len(counts)), counts)[marks], values[marks], last[marks]
+            level = levels(values, late, maps)
+            marks = prefix_marks(counts, level)
+            text, token, hot = np.repeat(np.arange(len(counts)), counts)[marks], values[marks], level[marks] > 0
             h = np.bincount(text, weights=hot, minlength=len(counts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(keys[text]), pa.array(counts[text]), pa.array(h[text]), pa.array(hot)], ["token", "key", "n", "h", "hot"])
 
@@ -80,14 +87,14 @@ def prefixes(features: DataFrame, late: LongSet) -> DataFrame:
 
 
 def frequent(features: DataFrame, k: int) -> DataFrame:
-    """The shingles (token) of more than DENSE rows, of the k-th of TURNS ranges: one range is shuffled at a time."""
+    """The shingles (token) of more than DENSE rows, and how many of STEPS they exceed (level), of the k-th of TURNS ranges: one range is shuffled at a time."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, _ in slices(found):
             own = values.view(np.uint64) >> np.uint64(64 - (TURNS - 1).bit_length()) == k
             yield pa.RecordBatch.from_arrays([pa.array(values[own])], ["token"])
 
-    return features.select("text_key", "shingles").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token")
+    return features.select("text_key", "shingles").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token", sum((F.col("df") > n).cast("int") for n in STEPS).alias("level"))
 
 
 def bodies(features: DataFrame, keys: LongSet) -> DataFrame:
@@ -168,9 +175,10 @@ def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
     """features: text_key, shingles (different ones, in unsigned order; a key's rows are equal). known: links
     (u, v) that hold anyway. Links that, with the known ones, give the components that all pairs alike give."""
     parts = [stored(frequent(features, k), "late") for k in range(TURNS)]
-    late = LongSet(reduce(DataFrame.union, parts))
+    late = [LongSet(reduce(DataFrame.union, parts).where(F.col("level") > k).select("token")) for k in range(len(STEPS))]
     rows = stored(prefixes(features, late), "prefixes")
-    late.remove(features)
+    for s in late:
+        s.remove(features)
     pairs = stored(cold_pairs(rows), "pairs")
     dense = stored(rows.where("hot").select("token", "key", "n", (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - F.col("h")).alias("c")).distinct(), "dense")
     discard(rows, *parts)
