@@ -4,7 +4,6 @@ import numpy as np
 import xxhash
 from llm_cases import AWKWARD, frame
 
-from gravelock.llm.copies import prefix_marks
 from gravelock.llm.graphs import components
 from gravelock.llm.simhash import cell_masks, deduplicated, links, near_copies, near_duplicates, signed
 
@@ -212,48 +211,3 @@ def test_one_row_of_each_group_stays(spark):
     got = deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, edited), (3, text(2)), (None, text(5)), (4, " \n "), (5, text(6)), (5, text(7)), (100, text(8))], key=str)
-
-
-def test_prefixes_take_lower_levels_first():
-    rng = random.Random(5)
-    texts = [[(rng.choice((0, 0, 1, 2, 4)), k) for k in range(rng.randint(1, 40))] for _ in range(50)]
-    marks = prefix_marks(np.array([len(t) for t in texts]), np.array([level for t in texts for level, _ in t], np.int8))
-    want = []
-    for t in texts:
-        n = len(t)
-        chosen = sorted(t)[: n - -(-8 * n // 10) + 1]
-        want += [x in chosen for x in t]
-    assert marks.tolist() == want
-
-
-def test_near_copies_with_every_level_of_frequency(spark, monkeypatch):
-    """Passages of very different frequency in different mixtures, against all pairs."""
-    from gravelock.llm import copies
-
-    monkeypatch.setattr(copies, "DENSE", 2)
-    monkeypatch.setattr(copies, "STEPS", (2, 4, 8, 16))
-    rng = random.Random(9)
-    pool = [[f"p{k}w{i}" for i in range(12)] for k in range(14)]
-    rows = []
-    for i in range(160):
-        chosen = [k for k in range(14) if rng.random() < (k + 2) / 15]
-        words = [w for k in chosen for w in pool[k]] + [f"own{i}x{j}" for j in range(rng.randint(0, 6))]
-        rows.append((i, " ".join(words)))
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for x in range(len(rows)):
-        for y in range(x):
-            if 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y])):
-                a, b = find(x), find(y)
-                root[max(a, b)] = min(a, b)
-    want = {i: find(i) for i in range(len(rows))}
-    assert len(set(want.values())) < len(rows)
-    got = dict(map(tuple, near_copies(frame(spark, rows)).collect()))
-    merged = {(x, y) for x in want for y in want if want[x] == want[y]}
-    assert merged <= {(x, y) for x in got for y in got if got[x] == got[y]}
