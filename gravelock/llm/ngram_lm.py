@@ -12,10 +12,11 @@ interpolated: p(w|h) = max(c(hw)-D, 0) / c(h) + D N(h) / c(h) p(w|shorter h); p3
 counts enter, no n-gram is dropped. Probabilities and back-off weights are 16-bit logarithms, so a text's score is
 a sum of whole numbers, whatever the order of the sum. A text's first token has p1.
 
-Hot contexts: a word v of c(v) tokens has 1 + c(v) // CLASS_TOKENS contexts, one of which is chosen by the word u
-before it, and the word before that if u is as frequent itself. The choice depends on the history alone, so
-probabilities still sum to one, no context has many more than CLASS_TOKENS tokens, and all counts of a context
-meet in one task.
+Frequent histories: the successors of a word v, or of a pair u v, of HOT_TOKENS training tokens or more are counted
+apart, each batch's first, in levels of their own, whose files are dealt by history and successor, so none is too
+large for a task. What follows such a pair is scored from these files by the batch that has it. The trigrams of
+such a word are dealt to shards by u as well, and its shards take p2 from the files. So every probability is that
+of the whole context, and scores do not depend on HOT_TOKENS, on the number of shards or on the input's size.
 
 Texts are read once, and written as batches of token indices. Words are counted first; then each batch looks
 up its words and deals its trigrams, as compressed lists, to the shards. A shard's task counts the training
@@ -48,7 +49,7 @@ BEGIN, END = 1, 2  # digests that no word has
 RANGE, STEPS = 24.0, 65535
 MAX_KNOWN = 600_000
 CHUNK_CHARS = 6 << 20
-SHARD_TOKENS, CLASS_TOKENS = 1 << 20, 1 << 18
+SHARD_TOKENS, HOT_TOKENS = 1 << 20, 1 << 18
 #: Files of level one.
 MAX_FILES = 1 << 14
 #: Words of one file that are held before they are summed.
@@ -273,8 +274,9 @@ def band(n: np.ndarray, mass: int) -> np.ndarray:
     return quantised(np.log10((n + 1) / mass))
 
 
-def words_level(tokens: DataFrame, files: int, parts: int) -> Words:
-    """Counts the words and writes the files of level one. Numbers go by p1, so that p1 can be told from the number."""
+def words_level(tokens: DataFrame, files: int, parts: int, hot_tokens: int) -> tuple[Words, dict[int, int]]:
+    """Counts the words and writes the files of level one. Numbers go by p1, so that p1 can be told from the number.
+    Also: the numbers of frequent histories (with the beginning of texts), and their counts; N / hot_tokens at most."""
     spark = tokens.sparkSession
     table = stored(counted_words(tokens, files, parts), "words")
     n_words, n_tokens = table.agg(F.sum(F.size("n")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
@@ -299,6 +301,7 @@ def words_level(tokens: DataFrame, files: int, parts: int) -> Words:
     within = within.groupBy("file").agg(F.collect_list(F.struct("band", (F.col("before") + F.col("ahead")).alias("before"))).alias("starts"))
 
     def write(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = []
         for b in found:
             for k, words, n, starts in zip(*(b.column(c).to_pylist() for c in ("file", "words", "n", "starts")), strict=True):
                 gaps = unsqueezed(words)[0]
@@ -311,16 +314,197 @@ def words_level(tokens: DataFrame, files: int, parts: int) -> Words:
                 edge = np.flatnonzero(np.diff(own[by], prepend=-1))
                 nth = np.empty(len(h), np.int64)
                 nth[by] = np.arange(len(h)) - np.repeat(edge, np.diff(edge, append=len(h)))
-                put_file(f"{path}/{k}.words", filed({"h": h, "c": n, "number": first[own] + offset[own] + nth}))
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+                number = first[own] + offset[own] + nth
+                put_file(f"{path}/{k}.words", filed({"h": h, "c": n, "number": number}))
+                many = np.flatnonzero(n >= hot_tokens)
+                hot += zip(np.where(h[many] == END, n_words, number[many]).tolist(), n[many].tolist(), strict=True)  # a text has one END and one beginning
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in hot], pa.int64()) for k in (0, 1)], ["number", "n"])
 
-    table.join(within, "file").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    hot = {r["number"]: r["n"] for r in table.join(within, "file").mapInArrow(write, "number long, n long").collect()}
     present = {r["file"] for r in table.select("file").collect()}  # MAX_FILES at most
     for k in set(range(files)) - present if n_words else ():
         put_file(f"{path}/{k}.words", filed({"h": np.empty(0, np.uint64), "c": np.empty(0, np.int64), "number": np.empty(0, np.int64)}))
     discard(table)
     discard(per)
-    return Words(path, files, n_words, n_tokens, (level, first))
+    return Words(path, files, n_words, n_tokens, (level, first)), hot
+
+
+# --- successors of frequent histories
+
+
+class Successors:
+    """How often each word follows each of some histories. keys: the histories' (sorted), totals: their tokens,
+    kinds: their different successors. A history's place among the keys stands for it."""
+
+    def __init__(self, path: str, files: int, slot_tokens: int, keys: np.ndarray, totals: np.ndarray):
+        self.path, self.files, self.slot_tokens, self.keys, self.totals = path, files, slot_tokens, keys, totals
+        self.kinds, self.there = np.zeros(len(keys), np.int64), np.zeros(files, bool)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def file(self, g: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A history's successors are in as many files as it has slots."""
+        slot = w % (1 + self.totals[g] // self.slot_tokens)
+        return file_of(mixed(g, slot), self.files)
+
+    def counts(self, g: np.ndarray, w: np.ndarray, maps: Mapped) -> np.ndarray:
+        """How often w follows the histories at these places."""
+        key, back = np.unique(pair_key(g, w), return_inverse=True)
+        g, w, n = key >> 40, key & (1 << 40) - 1, np.zeros(len(key), np.int64)
+        file = self.file(g, w)
+        by = np.argsort(file, kind="stable")
+        cuts = np.append(heads(file[by]), len(by)) if len(by) else np.zeros(1, np.int64)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x, k = by[a:z], file[by[a]]
+            if self.there[k]:
+                held = maps[f"{self.path}/{k}.next"]
+                context = held.array("context")
+                at = np.minimum(np.searchsorted(context, g[x]), len(context) - 1)
+                ok = np.flatnonzero(context[at] == g[x])
+                if len(ok):
+                    place, _ = Level(held, "next").search(at[ok], w[x[ok]])
+                    n[x[ok]] = np.where(place >= 0, held.array("n")[place], 0)
+        return n[back]
+
+
+def successors(pairs: DataFrame, level: Successors, parts: int, hot_tokens: int) -> dict[tuple[int, int], int]:
+    """Writes a level's files. pairs: file, pairs (place of the history, word, count: squeezed). Returns the successors
+    (place, word) that follow hot_tokens times or more."""
+    path = level.path
+
+    def added(held: list) -> list[np.ndarray]:
+        g, w, n = (np.concatenate(c).astype(np.int64) for c in zip(*held, strict=True))
+        by = np.lexsort((w, g))
+        edge = heads(g[by], w[by])
+        return [g[by][edge], w[by][edge], np.add.reduceat(n[by], edge)]
+
+    def done(k: int, held: list) -> list[tuple[int, int, int]]:
+        """Rows: (k, -2, 0); (place, -1, number of successors here) for each history; (place, word, count) for those that are hot."""
+        g, w, n = added(held)
+        own = heads(g)
+        size = np.diff(own, append=len(g))
+        put_file(f"{path}/{k}.next", filed({"context": g[own], **Level.arrays("next", np.repeat(np.arange(len(own)), size), w, len(own)), "n": n}))
+        many = np.flatnonzero(n >= hot_tokens)
+        return [(k, -2, 0), *((x, -1, y) for x, y in zip(g[own].tolist(), size.tolist(), strict=True)), *zip(g[many].tolist(), w[many].tolist(), n[many].tolist(), strict=True)]
+
+    def total(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now, rows = [], 0, None, []
+        for b in found:
+            for k, data in zip(b.column("file").to_pylist(), b.column("pairs").to_pylist(), strict=True):
+                if held and k != now:
+                    rows += done(now, held)
+                    held, size = [], 0
+                now = k
+                held.append(unsqueezed(data))
+                size += len(held[-1][0])
+                if size > HELD_WORDS and len(held) > 1:  # memory: the different successors of one file
+                    held = [added(held)]
+                    size = len(held[0][0]) // 2
+        if held:
+            rows += done(now, held)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["g", "w", "n"])
+
+    rows = pairs.repartition(parts, "file").sortWithinPartitions("file").mapInArrow(total, "g long, w long, n long")
+    hot = {}
+    for r in rows.collect():  # N / slot_tokens rows for each level, and some for each file, at most
+        if r["w"] == -2:
+            level.there[r["g"]] = True
+        elif r["w"] == -1:
+            level.kinds[r["g"]] += r["n"]
+        else:
+            hot[r["g"], r["w"]] = r["n"]
+    return hot
+
+
+def pair_key(g: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A history's place and a word's number as one; negative if there is no such history."""
+    return g << 40 | w
+
+
+def numbered(h: np.ndarray, words: Words, maps: Mapped) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of a batch's words, and behind them of the beginning of a text."""
+    number, count = np.empty(len(h) + 1, np.int64), np.zeros(len(h) + 1, np.int64)
+    by = np.argsort(h)
+    number[by], count[by] = words.found(h[by], maps)
+    number[-1] = words.begin
+    return number, count
+
+
+def histories(token: np.ndarray, length: np.ndarray, begin: int, n: int) -> list[np.ndarray]:
+    """The tokens, and the words one, two, to n places before them, as far as the text goes."""
+    begins, out = np.cumsum(length) - length, [token]
+    for k in range(1, n + 1):
+        back = np.full(len(token), begin, np.int64)
+        back[k:] = token[:-k]
+        for j in range(k):
+            back[begins[length > j] + j] = begin
+        out.append(back)
+    return out
+
+
+def following(tokens: DataFrame, words: Words, single: Successors, double: Successors | None = None) -> DataFrame:
+    """The training tokens after the histories of `single`, or of `double`: file, pairs (place, word, count); a row of each batch for each file."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps, level = Mapped(), double or single
+        for b in found:
+            for doc_id, length, h, token in zip(*(b.column(c).to_pylist() for c in ("doc_id", "length", "words", "tokens")), strict=True):
+                (length,), (h,), (token,) = unsqueezed(length), unsqueezed(h), unsqueezed(token)
+                length = length.astype(np.int64)
+                number, _ = numbered(h.astype(np.uint64), words, maps)
+                w, v, u = histories(token, length, len(h), 2)
+                g = single.places(number)
+                g = double.places(pair_key(g[u], number[v])) if double else g[v]
+                own = np.flatnonzero((g >= 0) & np.repeat(np.fromiter((not held_out(i) for i in doc_id), bool, len(doc_id)), length))
+                key, n = np.unique(pair_key(g[own], number[w[own]]), return_counts=True)
+                g, w = key >> 40, key & (1 << 40) - 1
+                file = level.file(g, w)
+                by = np.argsort(file, kind="stable")
+                cuts = np.append(heads(file[by]), len(by)) if len(by) else np.zeros(1, np.int64)
+                rows = [by[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([file[x[0]] for x in rows], pa.int32()), pa.array([squeezed(g[x], w[x], n[x]) for x in rows], pa.binary())], ["file", "pairs"])
+
+    return tokens.mapInArrow(run, "file int, pairs binary")
+
+
+def frequent_histories(tokens: DataFrame, words: Words, hot: dict[int, int], path: str, parts: int, hot_tokens: int, shard_tokens: int) -> tuple[Successors, Successors]:
+    """The levels of words, and of pairs of words, that are frequent histories. hot: the words' numbers and counts."""
+
+    def level(name: str, found: dict[int, int], *before: Successors) -> tuple[Successors, dict]:
+        keys = np.array(sorted(found), np.int64)
+        totals = np.array([found[k] for k in keys.tolist()], np.int64)
+        out = Successors(f"{path}/{name}", min(MAX_FILES, max(parts, -(-int(totals.sum()) // shard_tokens))), hot_tokens, keys, totals)
+        return out, successors(following(tokens, words, *before, out), out, parts, hot_tokens) if found else {}
+
+    single, pairs = level("single", hot)
+    double, _ = level("double", {g << 40 | w: n for (g, w), n in pairs.items()}, single)
+    return single, double
+
+
+def after_one(g: np.ndarray, w: np.ndarray, words: Words, single: Successors, maps: Mapped) -> tuple[np.ndarray, np.ndarray]:
+    """(p2, its quantised logarithm) of words after the frequent ones at g."""
+    n, c = single.counts(g, w, maps), single.totals[g]
+    b, p1 = DISCOUNT * single.kinds[g] / c, words.p1(w)
+    p = np.where(n > 0, (n - DISCOUNT) / c, 0) + b * 10.0 ** restored(p1)
+    return p, np.where(n > 0, quantised(np.log10(p)).astype(np.int64), quantised(np.log10(b)) + p1)
+
+
+def after_two(g: np.ndarray, of: np.ndarray, w: np.ndarray, words: Words, single: Successors, double: Successors, maps: Mapped) -> np.ndarray:
+    """Quantised logarithms of p3 of words after the frequent pairs at g, whose last words are at `of` in `single`."""
+    key, back = np.unique(pair_key(g, w), return_inverse=True)
+    first = np.empty(len(key), np.int64)
+    first[back] = of
+    g, w = key >> 40, key & (1 << 40) - 1
+    p2, q2 = after_one(first, w, words, single, maps)
+    n, c = double.counts(g, w, maps), double.totals[g]
+    b = DISCOUNT * double.kinds[g] / c
+    p = np.where(n > 0, (n - DISCOUNT) / c, 0) + b * p2
+    return np.where(n > 0, quantised(np.log10(p)).astype(np.int64), quantised(np.log10(b)) + q2)[back]
 
 
 # --- the trie of a shard
@@ -366,8 +550,8 @@ def heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def shard_file(context: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, words: Words) -> bytes:
-    """The trie of the trigrams (u, context, w), sorted by context, u and w, seen n times each."""
+def shard_file(context: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, words: Words, single: Successors, maps: Mapped) -> bytes:
+    """The trie of the trigrams (u, context, w), sorted by context, u and w, seen n times each. A frequent word's contexts take p2 from `single`."""
     own = heads(context)
     c = np.repeat(np.arange(len(own)), np.diff(own, append=len(context)))
     c1 = np.add.reduceat(n, own)
@@ -378,6 +562,10 @@ def shard_file(context: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray,
     p1 = 10.0 ** restored(words.p1(pw))
     b1 = DISCOUNT * np.bincount(pc, minlength=len(own)) / c1
     p2 = (n2 - DISCOUNT) / c1[pc] + b1[pc] * p1
+    g = single.places(context[own] >> 24)
+    some = np.flatnonzero(g[pc] >= 0)
+    if len(some):
+        p2[some], _ = after_one(g[pc[some]], pw[some], words, single, maps)
     # Words before the context, and successors of both, by their places among the context's successors.
     before = heads(c, u)
     c2 = np.add.reduceat(n, before)
@@ -398,9 +586,9 @@ class Trie:
         self.context, self.weight1, self.p2, self.weight2, self.p3 = map(file.array, ("context", "weight1", "p2", "weight2", "p3"))
         self.next, self.before, self.both = (Level(file, x) for x in ("next", "before", "both"))
 
-    def logs(self, context: np.ndarray, u: np.ndarray, w: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """Quantised logarithms of p(w | u, context); all sorted by context, u and w. p1: w's own."""
-        out = p1.astype(np.int64)
+    def logs(self, context: np.ndarray, u: np.ndarray, w: np.ndarray, p1: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Quantised logarithms of p(w | u, context); all sorted by context, u and w. p1: w's own. low: those of p2 of frequent words, else -1."""
+        out = np.where(low >= 0, low, p1)
         if not len(self.context) or not len(out):
             return out
         edge = heads(context)
@@ -417,14 +605,15 @@ class Trie:
         pair = heads(c[by], w[by])
         place, first = self.next.search(c[by][pair], w[by][pair])
         again = np.diff(pair, append=len(by))
-        low, rank = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        lower, rank = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
         q = np.where(place >= 0, self.p2[place], self.weight1[c[by][pair]] + p1[rows][by][pair].astype(np.int64))
-        low[by] = np.repeat(q, again)
+        lower[by] = np.repeat(q, again)
+        lower = np.where(low[rows] >= 0, low[rows], lower)
         rank[by] = np.repeat(np.where(place >= 0, place - first, -1), again)
         both = heads(c, u)
         place, _ = self.before.search(c[both], u[both])
         of = np.repeat(place, np.diff(both, append=len(c)))
-        q = low + np.where(of >= 0, self.weight2[of], 0)
+        q = lower + np.where(of >= 0, self.weight2[of], 0)
         some = np.flatnonzero((of >= 0) & (rank >= 0))
         if len(some):
             place, _ = self.both.search(of[some], rank[some])
@@ -439,8 +628,8 @@ class Trie:
 TO_SHARD = "shard int, batch long, trigrams binary"
 
 
-def dealt(tokens: DataFrame, words: Words, shards: int, class_tokens: int) -> DataFrame:
-    """Each batch's trigrams for each shard; and (shard -1) a row of each batch for itself: what needs no context."""
+def dealt(tokens: DataFrame, words: Words, single: Successors, double: Successors, shards: int, hot_tokens: int, class_tokens: int | None) -> DataFrame:
+    """Each batch's trigrams for each shard; and (shard -1) a row of each batch for itself: what needs no shard."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = Mapped()
@@ -448,10 +637,7 @@ def dealt(tokens: DataFrame, words: Words, shards: int, class_tokens: int) -> Da
             for batch, doc_id, length, h, token in zip(*(b.column(c).to_pylist() for c in ("batch", "doc_id", "length", "words", "tokens")), strict=True):
                 (length,), (h,), (token,) = unsqueezed(length), unsqueezed(h), unsqueezed(token)
                 h, length = h.astype(np.uint64), length.astype(np.int64)
-                by = np.argsort(h)
-                number, count = np.empty(len(h) + 1, np.int64), np.zeros(len(h) + 1, np.int64)
-                number[by], count[by] = words.found(h[by], maps)
-                number[-1] = words.begin
+                number, count = numbered(h, words, maps)
                 h = np.append(h, np.uint64(BEGIN))
                 begins = np.cumsum(length) - length
                 doc = np.repeat(np.arange(len(length)), length)
@@ -459,26 +645,25 @@ def dealt(tokens: DataFrame, words: Words, shards: int, class_tokens: int) -> Da
                 base = np.add.reduceat(np.log10((count + 1) / words.mass)[token], begins)
                 p1 = words.p1(number)
 
-                # The words one, two and three places before, as far as the text goes.
-                history = [token]
-                for k in (1, 2, 3):
-                    back = np.full(len(token), len(h) - 1, np.int64)
-                    back[k:] = token[:-k]
-                    for j in range(k):
-                        short = begins[length > j] + j
-                        back[short] = len(h) - 1
-                    history.append(back)
-                w, v, u, t = history
-                own = np.flatnonzero((count > 0)[v])  # else p1 stands: the first token, and after unknown words
-                alone = np.ones(len(token), bool)
-                alone[own] = False
-                sums = np.bincount(doc[alone], p1[token[alone]], minlength=len(length)).astype(np.int64)
+                w, v, u, t = histories(token, length, len(h) - 1, 3)
+                sums = np.zeros(len(length), np.int64)
+                own = (count > 0)[v]  # else p1 stands: the first token, and after unknown words
+                alone = np.flatnonzero(~own)
+                sums += np.bincount(doc[alone], p1[token[alone]], minlength=len(length)).astype(np.int64)
+                if len(double.keys):
+                    g = single.places(number)
+                    pair = double.places(pair_key(g[u], number[v]))
+                    some = np.flatnonzero(pair >= 0)
+                    q = after_two(pair[some], g[v[some]], number[w[some]], words, single, double, maps)
+                    sums += np.bincount(doc[some], q, minlength=len(length)).astype(np.int64)
+                    own[some] = False
+                own = np.flatnonzero(own)
                 w, v, u, t, doc = w[own], v[own], u[own], t[own], doc[own]
-                kinds = 1 + count // class_tokens
+                kinds = 1 + count // (class_tokens or hot_tokens)
                 cls = np.zeros(len(v), np.int64)
                 many = np.flatnonzero(kinds[v] > 1)
                 if len(many):
-                    far = np.where(count[u[many]] >= class_tokens, h[t[many]], np.uint64(0))
+                    far = np.where(count[u[many]] >= class_tokens, h[t[many]], np.uint64(0)) if class_tokens else np.zeros(1, np.uint64)
                     cls[many] = mixed(h[u[many]], far) % kinds[v[many]].astype(np.uint64)
                 context = number[v] << 24 | cls
                 shard = (mixed(context.view(np.uint64), np.uint64(0)[None]) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
@@ -500,10 +685,10 @@ def dealt(tokens: DataFrame, words: Words, shards: int, class_tokens: int) -> Da
     return tokens.mapInArrow(run, TO_SHARD)
 
 
-def answered(lists: DataFrame, words: Words, path: str, keep: bool) -> DataFrame:
+def answered(lists: DataFrame, words: Words, single: Successors, path: str, keep: bool) -> DataFrame:
     """batch, shard, sums: for each batch a row of (its texts' places, sums of quantised logarithms) from each shard. lists: a shard's together."""
 
-    def one(shard: int, batch: list[int], held: list[bytes]) -> pa.RecordBatch:
+    def one(shard: int, batch: list[int], held: list[bytes], maps: Mapped) -> pa.RecordBatch:
         parts = [unsqueezed(x) for x in held]
         context = np.concatenate([np.repeat(p[0].astype(np.int64), p[1]) for p in parts])
         u, w = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (2, 3))
@@ -526,11 +711,15 @@ def answered(lists: DataFrame, words: Words, path: str, keep: bool) -> DataFrame
         n = np.add.reduceat(doc & 1, edge)
         seen = edge[n > 0]
         name = f"{path}/{shard}.trie"
+        g, low = single.places(context[edge] >> 24), np.full(len(edge), -1, np.int64)
+        some = np.flatnonzero(g >= 0)
+        if len(some):
+            _, low[some] = after_one(g[some], w[edge[some]], words, single, maps)
         if len(seen):
-            put_file(name, shard_file(context[seen], u[seen], w[seen], n[n > 0], words))
-            q = Trie(mapped(name)).logs(context[edge], u[edge], w[edge], words.p1(w[edge]))
+            put_file(name, shard_file(context[seen], u[seen], w[seen], n[n > 0], words, single, maps))
+            q = Trie(mapped(name)).logs(context[edge], u[edge], w[edge], words.p1(w[edge]), low)
         else:
-            q = words.p1(w[edge])
+            q = np.where(low >= 0, low, words.p1(w[edge]))
         if not keep and len(seen):
             drop_file(name)
         q = np.repeat(q, np.diff(edge, append=len(c)))
@@ -544,20 +733,20 @@ def answered(lists: DataFrame, words: Words, path: str, keep: bool) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array([shard] * len(batch), pa.int32()), pa.array(sums, pa.binary())], ["batch", "shard", "sums"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, held, now = [], [], None
+        batch, held, now, maps = [], [], None, Mapped()
         for b in found:
             for shard, of, data in zip(*(b.column(c).to_pylist() for c in ("shard", "batch", "trigrams")), strict=True):
                 if shard < 0:
                     yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["batch", "shard", "sums"])
                     continue
                 if held and shard != now:
-                    yield one(now, batch, held)
+                    yield one(now, batch, held, maps)
                     batch, held = [], []
                 now = shard
                 batch.append(of)
                 held.append(data)
         if held:
-            yield one(now, batch, held)
+            yield one(now, batch, held, maps)
 
     return lists.mapInArrow(run, "batch long, shard int, sums binary")
 
@@ -566,9 +755,12 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def lm_scores(docs: DataFrame, model: str | None = None, class_tokens: int = CLASS_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, model: str | None = None, class_tokens: int | None = None, shard_tokens: int = SHARD_TOKENS, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """One row for each row of docs (doc_id, text): SCHEMA; scores are log10 probabilities. model: a folder that keeps the trie's files.
 
+    class_tokens, if given, asks for another model, in which a word v has 1 + c(v) // class_tokens contexts, chosen by
+    the word u before it, and the word before that if u is as frequent; scores depend on it, and so on the input's size.
+
     Null and empty texts are one END token; a null doc_id is in training; repeated rows count, and are
     scored, each; without training texts every probability is 1 (N = V = 0); an empty table gives an empty
     result; other columns are ignored. Memory: a batch of CHUNK_CHARS characters or one longer text in the first
@@ -577,18 +769,20 @@ def lm_scores(docs: DataFrame, model: str | None = None, class_tokens: int = CLA
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = stored(tokenised(doc_text(docs)), "tokens")
-    words = words_level(tokens, min(MAX_FILES, parts), parts)
+    words, hot = words_level(tokens, min(MAX_FILES, parts), parts, hot_tokens)
     shards = max(1, -(-words.n_tokens // shard_tokens))
     path = model or scratch(spark, "trie")
-    lists = dealt(tokens, words, shards, class_tokens)
+    single, double = frequent_histories(tokens, words, {} if class_tokens else hot, path, parts, hot_tokens, shard_tokens)
+    lists = dealt(tokens, words, single, double, shards, hot_tokens, class_tokens)
     n = max(parts, min(shards, 1 << 15))
     to = F.pmod(F.when(F.col("shard") < 0, F.xxhash64("batch")).otherwise(F.col("shard")), F.lit(n)).cast("int")
     lists = lists.repartitionById(n, to).sortWithinPartitions("shard", "batch")
-    sums = stored(answered(lists, words, path, model is not None), "sums")
+    sums = stored(answered(lists, words, single, path, model is not None), "sums")
     ids = stored(tokens.select("batch", "doc_id"), "ids")
     discard(tokens)
     if model is None:
         removed(spark, words.path)
+        removed(spark, path)
     back = sums.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "sums"))).alias("sums")).join(ids, "batch")
     n_tokens = words.n_tokens
 

@@ -85,6 +85,19 @@ def test_scores_do_not_depend_on_partitions(spark, sf_dir):
     assert some[0] == some[1]
 
 
+def test_scores_do_not_depend_on_what_is_frequent(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(10**6 + k, f"the same beginning of many texts, and then {k}") for k in range(60)] + [(None, None), (7, "")]
+    exact = sorted(brute(docs, 1 << 40), key=str)
+    for shard_tokens, hot_tokens in ((1 << 20, 1 << 18), (3000, 1 << 18), (4000, 1000), (3000, 20), (2000, 1)):
+        got = sorted(map(tuple, lm_scores(frame(spark, docs).repartition(3), shard_tokens=shard_tokens, hot_tokens=hot_tokens).collect()), key=str)
+        if hot_tokens == 1 << 18 and shard_tokens > 3000:
+            whole = got
+            for g, w in zip(got, exact, strict=True):
+                assert g[:5] == w[:5] and abs(g[6] - w[6]) <= 6e-4 * w[2], (g, w)
+        assert [r[:5] + r[6:] for r in got] == [r[:5] + r[6:] for r in whole], (shard_tokens, hot_tokens)
+
+
 def test_held_out_texts_and_copies_are_told_apart(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
     r = lm_scores(docs).where("held_out").groupBy().sum("base_score", "score").first()
