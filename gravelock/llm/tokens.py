@@ -16,6 +16,7 @@ Head and tail are the stretches at the chunk's ends that a word across the cut n
 from __future__ import annotations
 
 import gc
+import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,6 +37,11 @@ CHUNK_BYTES = 1 << 16
 MAX_WORD = 256
 #: The split pattern of the tokenizer file (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for visible ASCII in lower case, and what that is.
+ASCII_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+VISIBLE = re.compile(rb"[!-~]+").fullmatch
+#: Below U+0180 nothing composes and lower-casing is one to one, but for U+0130; U+0080 to U+00A0 has white space.
+PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u017f]+").fullmatch
 
 
 class WordCounts(dict):
@@ -57,47 +63,56 @@ class WordCounts(dict):
         return n
 
 
+class PieceTokens(dict):
+    """piece of the split pattern (UTF-8, lower case) -> its token ids, by the library's merges."""
+
+    def __init__(self, model, n_ids: int):
+        super().__init__()
+        self.tokenize, self.letters, self.old = model.tokenize, byte_alphabet(), {}
+        self.packed = [i.to_bytes(4, "little") for i in range(n_ids)]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            shown = piece.decode("latin-1")
+            found = self.tokenize(shown if piece.isascii() else shown.translate(self.letters))
+            ids = b"".join([self.packed[t.id] for t in found])
+        if len(self) >= MAX_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class WordTokens(dict):
     """word (UTF-8, no ASCII white space) -> its token ids, as little-endian unsigned 32-bit values."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.model = self.library.model
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in self.specials) or b"(?!)").search
         self.split = regex.compile(SPLIT).findall
-        self.letters = byte_alphabet()
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.piece = PieceTokens(self.library.model, max(self.library.get_vocab().values()) + 1).__getitem__
         self.old: dict[bytes, bytes] = {}
 
-    def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            ids = self.old_pieces.get(p)
-            if ids is None:
-                letters = self.letters
-                shown = p if p.isascii() else "".join([letters[b] for b in p.encode()])
-                found = [t.id for t in self.model.tokenize(shown)]
-                ids = struct.pack(f"<{len(found)}I", *found)
-            if len(self.pieces) >= MAX_PIECES:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[p] = ids
-        return ids
-
     def compiled(self, word: bytes) -> bytes:
+        if len(word) <= MAX_WORD and VISIBLE(word):
+            low = word.lower()
+            if low.isalpha():
+                return self.piece(low)
+            if not self.special(word):
+                return b"".join(map(self.piece, ASCII_SPLIT(low)))
         s = word.decode()
-        if s.isalpha() and s.isascii() and len(s) <= MAX_WORD:
-            return self.piece(s.lower())
-        # Below U+0180 nothing composes and lower-casing is one to one, but for U+0130; U+0080 to U+00A0 has white space.
-        plain = s.isascii() or (max(s) < "ƀ" and not regex.search("[\u0080- İ]", s))
-        if not plain or len(s) > MAX_WORD or not s.isprintable() or any(t[0] in s and t in s for t in self.specials):
+        if len(s) > MAX_WORD or not PLAIN(s) or self.special(word):
             ids = self.library.encode(s, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.piece, self.split(s.lower())))
+        low = s.lower()
+        return self.piece(low.encode()) if s.isalpha() else b"".join([self.piece(p.encode()) for p in self.split(low)])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)

@@ -9,7 +9,7 @@ from llm_cases import AWKWARD, frame
 from tokenizers import Tokenizer
 
 from gravelock.llm.packing import CAPACITY, SumOfSquares, pack
-from gravelock.llm import transducer
+from gravelock.llm import tokens, transducer
 from gravelock.llm.tokens import ChunkScan, WordCounts, WordTokens, token_counts
 from gravelock.llm.transducer import Transducer
 
@@ -32,6 +32,24 @@ def test_words_equal_the_library(library, sf_dir):
         assert np.frombuffer(table.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_each_way_to_a_word_equals_the_library(library, monkeypatch):
+    rng = random.Random(5)
+    latin = [chr(c) for c in range(0x21, 0x190)]
+    texts = [a + b + "e" for a in ("", "x", "'", "1") for b in latin] + ["".join(rng.choices(latin, k=rng.randint(1, 9))) for _ in range(4000)]
+    texts += ["Größe" * k + tail for k in (1, 51, 52, 90) for tail in ("", ".", "<|endoftext|>", "<|endoftext|", "ß<|startoftext|>é")]
+    for most in (150_000, 3):  # pieces are forgotten again and again
+        monkeypatch.setattr(tokens, "MAX_PIECES", most)
+        table = WordTokens(PATH)
+        for t in texts:
+            assert np.frombuffer(table.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_latin_words_are_not_given_to_the_whole_library():
+    table = WordTokens(PATH)
+    table.split = table.library = None
+    assert all(table.ids(t) for t in ("plain", "it's", "Größe", "x1,y2;"))
+
+
 def test_the_transducer_counts_as_the_library_does(library, sf_dir, monkeypatch):
     rng = random.Random(2)
     alphabet = "aB'sè É\n ́İσΣ1½<|>endoftxt漢😀​\u0085.ſK-rvl'"
