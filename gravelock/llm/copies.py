@@ -10,6 +10,8 @@ Late shingles that are in prefixes even so are not paired at first: each text is
 shingle's group, in ROUNDS rounds, and what is linked by then is one. Of the pairs that are left between different
 components, those that share an early shingle have met by it; the others can only share late ones, and
 those that have enough of them for that are held against each other. So no pair is missed, whatever the group.
+Such a pair is made only if its parity bits allow it: every shingle flips one bit of its text's, so that two texts
+differ in at most as many bits as there are shingles that only one of them has, which are few if they are alike.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from gravelock.llm.graphs import components
 DENSE, ROUNDS, SLICE = 16, 3, 512
 #: A power of two.
 TURNS = 4
+#: Words of 64 parity bits.
+PARITY = 8
 PREFIX = "token long, key long, n long, h long, hot boolean"
 
 
@@ -90,6 +94,24 @@ def frequent(features: DataFrame, k: int) -> DataFrame:
     return features.select("text_key", "shingles").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > DENSE).select("token")
 
 
+def parities(features: DataFrame, keys: LongSet) -> DataFrame:
+    """key, p0, p1, ... of the texts with these keys: their parity bits."""
+    names, size = [f"p{k}" for k in range(PARITY)], 64 * PARITY
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = Mapped()
+        for text, values, counts in slices(found):
+            own = keys.within(text, maps)
+            values, text, counts = values[np.repeat(own, counts)], text[own], counts[own]
+            flips = np.repeat(np.arange(len(text)), counts) * size + (values & (size - 1))
+            bits = np.bincount(flips, minlength=len(text) * size).astype(np.uint8) & 1
+            words = np.packbits(bits).view(np.int64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([pa.array(text), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY))], ["key", *names])
+
+    schema = ", ".join(f"{x} long" for x in ("key", *names))
+    return features.select("text_key", "shingles").mapInArrow(run, schema).dropDuplicates(["key"])
+
+
 def bodies(features: DataFrame, keys: LongSet) -> DataFrame:
     """key, shingles of the texts with these keys, once each."""
 
@@ -115,6 +137,12 @@ def enough(common: Column, a: Column, b: Column) -> Column:
     return 9 * common >= 4 * (a + b)
 
 
+def near(n: Column, n2: Column) -> Column:
+    """If the parity bits (p0, ... and p02, ...) of two texts leave room for enough common shingles: at most (n + n2) / 9
+    are not common then."""
+    return 9 * reduce(Column.__add__, (F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}2"))) for k in range(PARITY))) <= n + n2
+
+
 def without_cold(n: Column, c: Column, n2: Column, c2: Column) -> Column:
     """If two texts with late shingles in their prefixes, that share no other, can have enough. All their other shingles
     (c, c2) are in their prefixes, where they would have met, so they only can share the late ones."""
@@ -189,12 +217,15 @@ def copy_links(features: DataFrame, known: DataFrame) -> DataFrame:
         tested = star if tested is None else tested.union(star)
         links = links.union(verified(star, features))
     roots = components(links)
-    a = stored(apart(rooted(dense, "key", roots, "root")), "parts")
-    b = a.select("token", *(F.col(x).alias(f"{x}2") for x in ("key", "n", "c", "root")))
-    rest = a.join(b, "token").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & without_cold(*map(F.col, ("n", "c", "n2", "c2"))))
+    parts = stored(apart(rooted(dense, "key", roots, "root")), "parts")
+    keys = LongSet(parts.select("key"))
+    a = stored(parts.join(parities(features, keys), "key"), "parities")
+    keys.remove(features)
+    b = a.select("token", *(F.col(x).alias(f"{x}2") for x in a.columns if x != "token"))
+    rest = a.join(b, "token").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & without_cold(*map(F.col, ("n", "c", "n2", "c2"))) & near(F.col("n"), F.col("n2")))
     rest = rest.groupBy(F.col("key").alias("u"), F.col("key2").alias("v")).agg(F.count("*").alias("met"), *(F.first(x).alias(x) for x in ("n", "n2", "c", "c2")))
     rest = rest.where(possible(F.col("met") + F.least("c", "c2"), F.col("n"), F.col("n2"))).select("u", "v")
     few = rooted(rooted(pairs, "u", roots, "ru"), "v", roots, "rv").where("ru <> rv").select("u", "v")
     left = stored(rest.union(few).distinct().join(tested, ["u", "v"], "left_anti"), "left")
-    discard(pairs, dense, a)
+    discard(pairs, dense, parts, a)
     return links.union(verified(left, features))

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from llm_cases import AWKWARD, frame
 
+from gravelock.llm import copies
 from gravelock.llm.graphs import components
 from gravelock.llm.simhash import cell_masks, deduplicated, links, near_copies, near_duplicates, signed
 
@@ -211,3 +212,28 @@ def test_one_row_of_each_group_stays(spark):
     got = deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, edited), (3, text(2)), (None, text(5)), (4, " \n "), (5, text(6)), (5, text(7)), (100, text(8))], key=str)
+
+
+def test_late_pairs_that_cannot_be_alike_are_not_made(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            words[at] = f"edit{i}of{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + k, rows[0][1].replace("w149", f"end{k}")) for k in range(3)]
+    made, verified = [], copies.verified
+    monkeypatch.setattr(copies, "verified", lambda pairs, features: made.append(pairs.count()) or verified(pairs, features))
+    assert dict(map(tuple, near_copies(frame(spark, rows)).collect())) == copy_groups(rows)
+    assert made[-1] < 200
+
+
+def test_parity_bits_never_exclude_a_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 9, 60, 400, 3000):
+        a = rng.integers(-(1 << 63), 1 << 63, n)
+        b = np.concatenate([a[: n - n // 9], rng.integers(-(1 << 63), 1 << 63, n // 9)])
+        bits = [np.bincount(x & (64 * copies.PARITY - 1), minlength=64 * copies.PARITY) & 1 for x in (a, b)]
+        assert (bits[0] != bits[1]).sum() <= len(set(a) ^ set(b))
