@@ -3,7 +3,9 @@
 The text is the first layer. Every layer is searched for encoded stretches: URL escapes, Unicode and byte escapes,
 numeric HTML references, 16-bit characters (these are rewritten in place, so that what stands around them stays),
 base64 and hex digits, also wrapped over lines and at every alignment, and compressed data (gzip, zlib, bzip2, xz)
-in any of these. Each decoded stretch is a new layer, which is scanned and searched in turn until none is new.
+in any of these, at its beginning or within. Each decoded stretch is a new layer, which is scanned and searched in turn
+until none is new. It is also put in its place among the words around it, as many as a match can reach, which gives
+another layer; there only what lies partly in the stretch counts, and is searched further, as the rest is seen elsewhere.
 Layers are bytes, so a stray byte spoils none. They are remembered by digest and origin, so a cycle ends. Nothing
 is cut off: compressed layers are unpacked and scanned window by window, so memory is bounded, not coverage.
 
@@ -16,12 +18,14 @@ No secret that the patterns can match has under 12 bytes, which are 16 character
 from __future__ import annotations
 
 import binascii
+import bisect
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,10 @@ HEXRUN = re.compile(rb"[0-9A-Fa-f]{24,}")
 STANDARD = bytes.maketrans(b"-_", b"+/")
 #: What ends every stretch: bytes that no pattern above can hold.
 ENDS = np.array([not re.match(rb"[A-Za-z0-9+/=_%\\&#;:.\"'\x00\x20\t\r\n-]", bytes([x])) for x in range(256)])
+#: What a match or a stretch can hold between blanks, and how many such words before and after one it can reach.
+WORDS, REACH = re.compile(rb"[A-Za-z0-9+/=_%\\&#;:.\"'\x00-]+"), 2
+#: The beginnings of gzip, bzip2 and xz data, wherever they stand.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0")
 #: Bytes of a compressed layer that are unpacked at a time; an open stretch is held back up to HELD bytes, beyond
 #: which it is read in parts that overlap by OVERLAP.
 BLOCK, HELD, OVERLAP = 1 << 20, 1 << 26, 1 << 16
@@ -71,10 +79,11 @@ def matches(s: str | bytes) -> list[Span]:
 
 
 class Layer:
-    """Bytes, and for each where its origin begins and ends in the text: arrays, or two numbers for all."""
+    """Bytes, and for each where its origin begins and ends in the text: arrays, or two numbers for all. fresh: the
+    stretch that was put in its place, if the layer was made for that."""
 
-    def __init__(self, data: bytes, names: tuple[str, ...], begins: np.ndarray | int, ends: np.ndarray | int):
-        self.data, self.names, self.begins, self.ends = data, names, begins, ends
+    def __init__(self, data: bytes, names: tuple[str, ...], begins: np.ndarray | int, ends: np.ndarray | int, fresh: tuple[int, int] | None = None):
+        self.data, self.names, self.begins, self.ends, self.fresh = data, names, begins, ends, fresh
 
     @classmethod
     def of(cls, text: str) -> Layer:
@@ -85,6 +94,13 @@ class Layer:
     def origin(self, a: int, b: int) -> tuple[int, int]:
         return (self.begins, self.ends) if isinstance(self.begins, int) else (int(self.begins[a]), int(self.ends[b - 1]))
 
+    def touches(self, a: int, b: int) -> bool:
+        return not self.fresh or a < self.fresh[1] and b > self.fresh[0]
+
+    def within(self, a: int, b: int) -> bool:
+        """If a..b lies in the fresh stretch, and so was seen in a layer of its own."""
+        return bool(self.fresh) and self.fresh[0] <= a and b <= self.fresh[1]
+
     def inner(self, name: str, data: bytes, first: np.ndarray, last: np.ndarray) -> Layer:
         """A layer whose bytes come from first..last (places in this one, both included)."""
         maps = (self.begins, self.ends) if isinstance(self.begins, int) else (self.begins[first], self.ends[last])
@@ -99,7 +115,18 @@ class Layer:
             last += [np.arange(at, a), np.full(len(s), b - 1)]
             at = b
         rest = np.arange(at, len(self.data))
-        return self.inner(name, b"".join([*out, self.data[at:]]), np.concatenate([*first, rest]), np.concatenate([*last, rest]))
+        first, last = np.concatenate([*first, rest]), np.concatenate([*last, rest])
+        layer = self.inner(name, b"".join([*out, self.data[at:]]), first, last)
+        if self.fresh:
+            layer.fresh = tuple(np.searchsorted(first, self.fresh).tolist())
+        return layer
+
+    def in_place(self, name: str, data: bytes, first: np.ndarray, last: np.ndarray, a: int, b: int, around: tuple[int, int]) -> Layer:
+        """The bytes `around` with a..b replaced by data."""
+        left, right = np.arange(around[0], a), np.arange(b, around[1])
+        layer = self.inner(name, self.data[around[0] : a] + data + self.data[b : around[1]], np.concatenate([left, first, right]), np.concatenate([left, last, right]))
+        layer.fresh = (len(left), len(left) + len(data))
+        return layer
 
 
 def unpacked(data: bytes) -> Iterator[bytes]:
@@ -185,20 +212,67 @@ def together(parts: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, by
             run.append(x)
 
 
+class Words:
+    """The words of a layer, which are looked for when first asked for."""
+
+    def __init__(self, s: bytes):
+        self.s = s
+
+    @cached_property
+    def spans(self) -> tuple[list[int], list[int]]:
+        found = [m.span() for m in WORDS.finditer(self.s)]
+        return [x[0] for x in found], [x[1] for x in found]
+
+    def around(self, a: int, b: int) -> tuple[int, int]:
+        """a..b, which begins and ends in words, with the words that a match over its ends can reach: blanks only are between."""
+        starts, ends = self.spans
+        i, j = bisect.bisect_right(starts, a) - 1, bisect.bisect_left(ends, b)
+        for _ in range(REACH):
+            i -= i > 0 and self.s[ends[i - 1] : starts[i]].isspace()
+            j += j + 1 < len(ends) and self.s[ends[j] : starts[j + 1]].isspace()
+        return starts[i], ends[j]
+
+
 def decoded(layer: Layer) -> Iterator[Layer]:
     s = layer.data
 
-    def packed(name: str, data: bytes, a: int, b: int) -> Iterator[Layer]:
-        where = layer.origin(a, b)
-        for window in windows(unpacked(data)):
-            yield Layer(window, (*layer.names, name, "zip"), *where)
-
+    def packed(name: str, data: bytes, a: int, b: int, end: int) -> Iterator[Layer]:
+        """What is compressed in the decoded stretch, and its ends with what is before and after the stretch."""
+        if layer.within(a, b):
+            return
+        names, where = (*layer.names, name, "zip"), layer.origin(a, b)
+        for at in {0, *(m.start() for m in MAGIC.finditer(data))}:
+            window = None
+            for k, window in enumerate(windows(unpacked(data[at:] if at else data))):
+                yield Layer(window, names, *where)
+                if not k and not at:
+                    lo, _ = words.around(a, b)
+                    if lo < a:
+                        yield Layer(s[lo:a] + window, names, *layer.origin(lo, b), (a - lo, a - lo + len(window)))
+            if window is not None:
+                _, hi = words.around(a, end)
+                if end < hi:
+                    yield Layer(window + s[end:hi], names, *layer.origin(a, hi), (0, len(window)))
+
+    def put(name: str, data: bytes, first: np.ndarray, last: np.ndarray, a: int, b: int, end: int) -> Iterator[Layer]:
+        """The decoded stretch a..b as a layer of its own, what is compressed in it, and in its place (up to `end`)."""
+        if not layer.within(a, b):
+            yield layer.inner(name, data, first, last)
+        yield from packed(name, data, a, b, end)
+        lo, hi = words.around(a, end)
+        if lo < a or end < hi:
+            yield layer.in_place(name, data, first, last, a, end, (lo, hi))
+
+    words = Words(s)
     for name, parts in rewritings(s):
-        if parts:
+        if any(layer.touches(a, b) for a, b, _ in parts):
             yield layer.rewritten(name, parts)
             for a, b, data in together(parts):
-                yield from packed(name, data, a, b)
+                if layer.touches(a, b):
+                    yield from packed(name, data, a, b, b)
     for m in RUN.finditer(s):
+        if not layer.touches(*m.span()):
+            continue
         raw, base = m[0], m.start()
         place = None
         if b"\n" in raw:
@@ -211,8 +285,8 @@ def decoded(layer: Layer) -> Iterator[Layer]:
                 n = (h.end() - a) // 2
                 k = a + 2 * np.arange(n)
                 data = binascii.unhexlify(raw[a : a + 2 * n])
-                yield layer.inner("hextext", data, at(k), at(k + 1))
-                yield from packed("hextext", data, int(at(a)), int(at(a + 2 * n - 1)) + 1)
+                end = int(at(a + 2 * n - 1)) + 1
+                yield from put("hextext", data, at(k), at(k + 1), int(at(a)), end, end)
         raw = raw.translate(STANDARD)
         for shift in range(4):
             n = (len(raw) - shift) // 4 * 4
@@ -220,8 +294,9 @@ def decoded(layer: Layer) -> Iterator[Layer]:
             part = raw[shift : shift + n + rest] if rest > 1 else raw[shift : shift + n]
             data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
             k = 8 * np.arange(len(data))
-            yield layer.inner("base64", data, at(shift + k // 6), at(shift + (k + 7) // 6))
-            yield from packed("base64", data, int(at(shift)), int(at(shift + len(part) - 1)) + 1)
+            end = int(at(shift + len(part) - 1)) + 1
+            padding = sum(s[end : end + x] == b"=" * x for x in range(1, -len(part) % 4 + 1))
+            yield from put("base64", data, at(shift + k // 6), at(shift + (k + 7) // 6), int(at(shift)), end, end + padding)
 
 
 def secret_spans(text: str) -> list[Span]:
@@ -238,12 +313,16 @@ def secret_spans(text: str) -> list[Span]:
             continue
         if len(layer.data) < 2:
             continue
-        key = hashlib.blake2b(layer.data, digest_size=16, person=b"%x:%x" % layer.origin(0, len(layer.data))).digest()
+        key = hashlib.blake2b(layer.data, digest_size=16, person=b"%x:%x" % layer.origin(0, len(layer.data))).digest(), layer.fresh
         if key in seen:
             continue
         seen.add(key)
         for a, b, kind in matches(layer.data):
+            if not layer.touches(a, b) or layer.within(a, b):
+                continue
             span = (*layer.origin(a, b), kind)
+            if layer.fresh and any(k == kind and x <= span[0] and span[1] <= z for x, z, k in known):
+                continue  # a plain value that was taken for an encoded one
             if span not in known:
                 known.add(span)
                 found.append((*span[:2], ".".join((*layer.names, kind))))

@@ -196,6 +196,29 @@ def test_layers_that_need_care():
     assert a == 2 + 7 * 8 // 6 and b == 2 + 32
 
 
+def test_decoded_stretches_meet_what_is_around_them():
+    key = b"the user: password="
+    for name, hidden in {
+        "base64": b64(key) + "hunter2hunter",
+        "base64 in base64": b64(b64(key).encode()) + "hunter2hunter",
+        "hex": key.hex() + "hunter2hunter",
+        "a name and a colon": b64(b"this is the password") + " : 'hunter2hunter'",
+        "before it": "secret: " + "".join(f"%{x:02x}" for x in b"'h") + "unt" + b64(b"er2 and something more"),
+        "wrapped": "\n".join(textwrap.wrap(b64(b"a rather long line before the user:password="), 20)) + "hunter2hunter",
+        "escaped and encoded": "".join(f"%{ord(x):02x}" for x in b64(key)) + "hunter2hunter",
+        "compressed": b64(gzip.compress(b" " + key)) + "hunter2hunter",
+        "compressed behind a header": b64(b"a header, then " + gzip.compress(key + b"hunter2hunter")),
+    }.items():
+        text = f"é! {hidden}! after"
+        found = [x for x in secret_spans(text) if x[2].endswith(".assign")]
+        assert found, name
+        assert all(3 <= a < b <= 3 + len(hidden) for a, b, _ in found), (name, found)
+    a, b, kind = hidden_spans("x, " + b64(key) + "hunter2hunter")[0]
+    assert (a, b, kind) == (3 + 10 * 8 // 6, 3 + 28 + 13, "base64.assign")
+    plain = "token=" + "a1b2c3" * 5 + " and " + b64(b"nothing to see here")
+    assert secret_spans(plain) == [(0, 36, "assign"), (6, 36, "hex")]
+
+
 CODINGS = {
     "base64": b64,
     "hex": lambda d: d.hex(),
