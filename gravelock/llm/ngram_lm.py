@@ -19,9 +19,10 @@ such a word are dealt to shards by u as well, and its shards take p2 from the fi
 of the whole context, and scores do not depend on HOT_TOKENS, on the number of shards or on the input's size.
 
 Texts are read once, and written as batches of token indices. Words are counted first; then each batch looks
-up its words and deals its trigrams, as compressed lists, to the shards. A shard's task counts the training
-trigrams, writes the trie's file to the shared folder, maps it, looks up every trigram that it was sent, and
-answers each batch with one sum for each text. No task or machine ever needs the whole model.
+up its words and deals its trigrams, as compressed lists, to the shards. A shard's task takes its contexts in
+pieces: for each it counts the training trigrams, writes the trie's file to the shared folder, maps it and looks up
+every trigram that it was sent. It answers each batch with one sum for each text. No task or machine ever needs
+the whole model.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ RANGE, STEPS = 24.0, 65535
 MAX_KNOWN = 600_000
 CHUNK_CHARS = 6 << 20
 SHARD_TOKENS, HOT_TOKENS = 1 << 20, 1 << 18
+#: Trigrams of a shard that are sorted, counted and looked up at a time.
+PIECE_TOKENS = 1 << 17
 #: Files of level one.
 MAX_FILES = 1 << 14
 #: Words of one file that are held before they are summed.
@@ -168,6 +171,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 blobs = [pa.array([squeezed(c)], pa.binary()) for c in (length, words[by].view(np.uint64), trained, which)]
                 yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *blobs], ["batch", "doc_id", "length", "words", "trained", "tokens"])
                 n += 1
+        digests.cache_clear()  # the worker is used again by later steps, which need the memory
 
     return docs.mapInArrow(run, BATCH)
 
@@ -685,17 +689,31 @@ def dealt(tokens: DataFrame, words: Words, single: Successors, double: Successor
     return tokens.mapInArrow(run, TO_SHARD)
 
 
-def answered(lists: DataFrame, words: Words, single: Successors, path: str, keep: bool) -> DataFrame:
-    """batch, shard, sums: for each batch a row of (its texts' places, sums of quantised logarithms) from each shard. lists: a shard's together."""
+def summed(key: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, sorted; their sums)."""
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    edge = heads(key)
+    return key[edge], np.add.reduceat(q[by], edge)
 
-    def one(shard: int, batch: list[int], held: list[bytes], maps: Mapped) -> pa.RecordBatch:
-        parts = [unsqueezed(x) for x in held]
+
+def context_cuts(parts: list[list[np.ndarray]], tokens: int) -> np.ndarray:
+    """Contexts that begin pieces of about so many trigrams, or one context with more; and an end. parts: contexts (sorted), trigrams of each, and more."""
+    context, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    by = np.argsort(context)
+    context, n = context[by].astype(np.uint64), n[by].astype(np.int64)
+    return np.append(np.unique(context[heads((np.cumsum(n) - n) // tokens)]), context[-1] + np.uint64(1))
+
+
+def answered(lists: DataFrame, words: Words, single: Successors, path: str, keep: bool, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
+    """batch, shard, sums: for each batch a row of (its texts' places, sums of quantised logarithms) from each shard. lists: a shard's together.
+    A shard is worked off in pieces, by contexts: memory is that of its compact lists, and of one piece or context."""
+
+    def piece(name: str, parts: list[list[np.ndarray]], maps: Mapped) -> tuple[np.ndarray, np.ndarray]:
+        """(part << 32 | text's place, sorted; sums) of contexts that are nowhere else; their trie is a file of its own."""
         context = np.concatenate([np.repeat(p[0].astype(np.int64), p[1]) for p in parts])
-        u, w = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (2, 3))
-        doc = np.concatenate([p[4] for p in parts]).astype(np.int64)
-        size = [len(p[2]) for p in parts]
-        del parts
-        part = np.repeat(np.arange(len(size)), size)
+        u, w, doc = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (2, 3, 4))
+        doc |= np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts]) << 33
         # Contexts by their order here: (context, u) then fits one number if words do.
         different, c = np.unique(context, return_inverse=True)
         if words.unknown < 1 << 32:
@@ -705,12 +723,11 @@ def answered(lists: DataFrame, words: Words, single: Successors, path: str, keep
             by = by[np.argsort(key << 32 | w[by])]
         else:
             by = np.lexsort((w, u, c))
-        c, u, w, doc, part = c[by], u[by], w[by], doc[by], part[by]
+        c, u, w, doc = c[by], u[by], w[by], doc[by]
         context = different[c]
         edge = heads(c, u, w)
         n = np.add.reduceat(doc & 1, edge)
         seen = edge[n > 0]
-        name = f"{path}/{shard}.trie"
         g, low = single.places(context[edge] >> 24), np.full(len(edge), -1, np.int64)
         some = np.flatnonzero(g >= 0)
         if len(some):
@@ -722,14 +739,28 @@ def answered(lists: DataFrame, words: Words, single: Successors, path: str, keep
             q = np.where(low >= 0, low, words.p1(w[edge]))
         if not keep and len(seen):
             drop_file(name)
-        q = np.repeat(q, np.diff(edge, append=len(c)))
-        key = part << 32 | doc >> 1
-        by = np.argsort(key, kind="stable")
-        key = key[by]
-        edge = heads(key)
-        total, key = np.add.reduceat(q[by], edge), key[edge]
-        cuts = np.searchsorted(key >> 32, np.arange(len(batch) + 1))
-        sums = [squeezed(key[a:z] & 0xFFFFFFFF, total[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return summed(doc >> 1, np.repeat(q, np.diff(edge, append=len(c))))
+
+    def one(shard: int, batch: list[int], held: list[bytes], maps: Mapped) -> pa.RecordBatch:
+        parts = [unsqueezed(x) for x in held]
+        held.clear()
+        cuts = context_cuts(parts, piece_tokens)
+        at = [np.searchsorted(p[0], cuts) for p in parts]
+        to = [np.concatenate(([0], np.cumsum(p[1], dtype=np.int64)))[a] for p, a in zip(parts, at, strict=True)]
+        found = []
+        for k in range(len(cuts) - 1):
+            own = [[*(x[a[k] : a[k + 1]] for x in p[:2]), *(x[t[k] : t[k + 1]] for x in p[2:])] for p, a, t in zip(parts, at, to, strict=True)]
+            found.append(piece(f"{path}/{shard}.{k}.trie", own, maps))
+        # Sums of all pieces, for some batches at a time.
+        ahead = np.cumsum([0, *(len(p[2]) for p in parts)])[:-1] // piece_tokens
+        edges = [*heads(ahead).tolist(), len(parts)]
+        del parts, own
+        sums = []
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            some = [(key[x:y], q[x:y]) for key, q in found for x, y in [np.searchsorted(key, [a << 32, z << 32])]]
+            key, total = summed(*(np.concatenate(x) for x in zip(*some, strict=True)))
+            ends = np.searchsorted(key >> 32, np.arange(a, z + 1))
+            sums += [squeezed(key[x:y] & 0xFFFFFFFF, total[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array([shard] * len(batch), pa.int32()), pa.array(sums, pa.binary())], ["batch", "shard", "sums"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -764,7 +795,7 @@ def lm_scores(docs: DataFrame, model: str | None = None, class_tokens: int | Non
     Null and empty texts are one END token; a null doc_id is in training; repeated rows count, and are
     scored, each; without training texts every probability is 1 (N = V = 0); an empty table gives an empty
     result; other columns are ignored. Memory: a batch of CHUNK_CHARS characters or one longer text in the first
-    steps, a shard's trigrams in the last.
+    steps, a shard's compact lists and the trigrams of one piece, or of one context, in the last.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

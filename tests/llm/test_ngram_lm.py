@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from llm_cases import AWKWARD, frame
 
 from gravelock.llm import ngram_lm
@@ -121,3 +123,46 @@ def test_trie_is_compact(spark, sf_dir, tmp_path):
         kids = [getattr(t, name).kid for t in tries]
         n = sum(k.n for k in kids)
         assert n > 1000 and sum(len(k.low) + 8 * len(k.high) for k in kids) < most * n
+
+
+class Here:
+    """Stands for a table: gives back the function that a worker would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def shard(rng, batches, n, kinds):
+    """A shard's lists of n random trigrams from each batch."""
+    lists = []
+    for _ in range(batches):
+        context = np.sort((rng.random(n) ** 3 * kinds).astype(np.int64)) << 24
+        edge = ngram_lm.heads(context)
+        u, w, doc = rng.integers(0, 50, n), (rng.random(n) ** 2 * kinds).astype(np.int64), rng.integers(0, 2000, n)
+        lists.append(ngram_lm.squeezed(context[edge], np.diff(edge, append=n), u, w, doc))
+    return pa.RecordBatch.from_arrays([pa.array([0] * batches, pa.int32()), pa.array(range(batches), pa.int64()), pa.array(lists, pa.binary())], ["shard", "batch", "trigrams"])
+
+
+def level_one(kinds):
+    n = np.arange(1, 4, dtype=np.int64)
+    return ngram_lm.Words("", 1, kinds, 10**6, (ngram_lm.band(n[::-1], 10**6 + kinds + 1), np.array([0, kinds // 3, kinds // 2])))
+
+
+def test_memory_of_a_shard(tmp_path):
+    lists, none = shard(np.random.default_rng(0), 40, 1 << 15, 30_000), np.empty(0, np.int64)
+    run = ngram_lm.answered(Here(), level_one(30_000), ngram_lm.Successors("", 1, 1, none, none), f"file://{tmp_path}", False)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([lists]))) == 40
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20, peak >> 20  # 1,310,720 trigrams
+
+
+def test_pieces_of_a_shard_do_not_change_sums(tmp_path):
+    rng, none = np.random.default_rng(1), np.empty(0, np.int64)
+    lists = shard(rng, 7, 3000, 400)
+    args = Here(), level_one(400), ngram_lm.Successors("", 1, 1, none, none), f"file://{tmp_path}", False
+    whole, *parts = ([b.to_pydict() for b in ngram_lm.answered(*args, tokens)(iter([lists]))] for tokens in (1 << 40, 5000, 700, 1))
+    assert parts == [whole] * 3 and not list(tmp_path.iterdir())
