@@ -3,7 +3,8 @@
 `transducer.Transducer` is the machine: states and annotated transitions over characters, compiled from the tokenizer
 file's merges when first reached; the tokenizer's library takes no part. ASCII white space leads every state back to the
 boundary state and emits what the state still owes, so a path from boundary to boundary, a word, has one count,
-which `WordCounts` keeps for words that come again.
+which `WordCounts` keeps for words that come again; so does the end of a piece of the split pattern, and `PieceCounts`
+keeps the counts of pieces, which come again in other words.
 
 Because every entry state is forgotten at the first white space, the state map of any chunk of text is the
 small monoid element (head, emitted, tail); `compose` is associative, so the maps of a text's chunks are
@@ -44,17 +45,50 @@ VISIBLE = re.compile(rb"[!-~]+").fullmatch
 PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u017f]+").fullmatch
 
 
+class PieceCounts(dict):
+    """piece of the split pattern (UTF-8, lower case) -> its number of tokens, by the transducer."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine, self.old = machine, {}
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self.old.get(piece)
+        if n is None:
+            n = self.machine.piece(piece)
+        if len(self) >= MAX_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = n
+        return n
+
+
 class WordCounts(dict):
     """word (UTF-8, no ASCII white space) -> its number of tokens, by the transducer."""
 
     def __init__(self, path: str):
         super().__init__()
         self.machine, self.old = Transducer(path), {}
+        self.piece = PieceCounts(self.machine).__getitem__
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in self.machine.merges.specials) or b"(?!)").search
+        self.split = regex.compile(SPLIT).findall
+
+    def counted(self, word: bytes) -> int:
+        """Piece by piece where pieces are easily told, else through the machine as it is."""
+        if len(word) <= MAX_WORD and not self.special(word):
+            if VISIBLE(word):
+                low = word.lower()
+                return self.piece(low) if low.isalpha() else sum(map(self.piece, ASCII_SPLIT(low)))
+            s = word.decode()
+            if PLAIN(s):
+                low = s.lower()
+                return self.piece(low.encode()) if s.isalpha() else sum([self.piece(p.encode()) for p in self.split(low)])
+        return self.machine.count(word)
 
     def __missing__(self, word: bytes) -> int:
         n = self.old.get(word)
         if n is None:
-            n = self.machine.count(word)
+            n = self.counted(word)
         if len(word) <= MAX_WORD:
             if len(self) >= MAX_COMPILED:
                 self.old = dict(self)

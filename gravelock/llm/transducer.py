@@ -12,6 +12,9 @@ last token after another byte is the suffix that is a token and goes with the la
 States are compiled when they are first reached, as in a lazily determinised automaton, and all forgotten when there are
 MAX_STATES; results do not change. The last byte of a piece takes part with the end mark, so it is held back
 until the next character tells whether the piece goes on.
+
+Short pieces (`piece`) have the same states, told apart by their paths alone, with one table of transitions for all of
+them; the tokens that can end at a symbol are read off the longest beginning of a token that ends there (`Endings`).
 """
 
 from __future__ import annotations
@@ -91,6 +94,47 @@ class Merges:
         return known
 
 
+class Endings:
+    """Nodes are the beginnings of tokens; a piece's node is the longest that ends it. Nodes are entered when first met."""
+
+    def __init__(self, merges: Merges, letters: dict[int, str]):
+        self.merges, self.letters = merges, letters
+        self.names = [None, *sorted(merges.vocab)]  # token by number; 0 stands for none
+        self.numbers = {t: k for k, t in enumerate(self.names)}
+        bodies = {t.removesuffix(merges.end) for t in merges.vocab}
+        self.begins = {b[:k] for b in bodies for k in range(len(b) + 1)}
+        self.texts, self.nodes = [""], {"": 0}
+        self.after: dict[int, int] = {}
+        self.inner: list[list[tuple[int, int]]] = [[]]
+        self.final: list[list[tuple[int, int]]] = [[]]
+        self.pairs: dict[int, bool] = {}
+
+    def follow(self, node: int, byte: int) -> int:
+        """The node after another byte."""
+        to = self.after.get(node << 8 | byte)
+        if to is None:
+            text = self.texts[node] + self.letters[byte]
+            while text not in self.begins:
+                text = text[1:]
+            to = self.nodes.get(text)
+            if to is None:
+                to = self.nodes[text] = len(self.texts)
+                self.texts.append(text)
+                ends = [text[k:] for k in range(len(text))]
+                for table, mark in ((self.inner, ""), (self.final, self.merges.end)):  # the longest first
+                    table.append([(len(t), self.numbers[t + mark]) for t in ends if t + mark in self.numbers])
+            self.after[node << 8 | byte] = to
+        return to
+
+    def neighbours(self, a: int, b: int) -> bool:
+        """Merges.neighbours, by numbers, which keep pairs small."""
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        m, x, y = self.merges, self.names[a], self.names[b]
+        known = self.pairs[a << 20 | b] = m.neighbours(None, y) and (x is None or m.apart(x, y, float("inf")))
+        return known
+
+
 #: (kind, held back symbol, kept symbols, last tokens and counts at the places between them)
 State = tuple[int, str, str, tuple[str | None, ...], tuple[int, ...]]
 START: State = (OUT, "", "", (None,), (0,))
@@ -105,6 +149,42 @@ class Transducer:
         self.go: list[dict[str, tuple[int, int]]] = []
         self.rest: dict[int, int] = {}
         self.number(START)
+        self.endings = Endings(self.merges, self.letters)
+        self.forget_paths()
+
+    def forget_paths(self) -> None:
+        #: (state, byte) -> state within a piece; each state's node, last token and number of tokens.
+        self.paths: dict[int, int] = {}
+        self.at, self.last, self.sums = [0], [0], [0]
+
+    def end_of(self, path: list[int], found: list[tuple[int, int]]) -> tuple[int, int]:
+        """The last token, of those that can end after the states of path, and the number of tokens then."""
+        last, pairs = self.last, self.endings.pairs
+        for size, token in found:
+            if size <= len(path):
+                before = path[-size]
+                known = pairs.get(last[before] << 20 | token)
+                if known or known is None and self.endings.neighbours(last[before], token):
+                    return token, self.sums[before] + 1
+        raise ValueError("no token ends here")
+
+    def piece(self, piece: bytes) -> int:
+        """Tokens of one whole piece of the split pattern (lower case). Its states are kept, so for short ones only."""
+        if len(self.sums) > MAX_STATES:
+            self.forget_paths()
+        paths, at, path, ends = self.paths, 0, [0], self.endings
+        for b in piece[:-1]:
+            to = paths.get(at << 8 | b)
+            if to is None:
+                node = ends.follow(self.at[at], b)
+                token, n = self.end_of(path, ends.inner[node])
+                to = paths[at << 8 | b] = len(self.sums)
+                self.at.append(node)
+                self.last.append(token)
+                self.sums.append(n)
+            path.append(to)
+            at = to
+        return self.end_of(path, ends.final[ends.follow(self.at[at], piece[-1])])[1]
 
     def number(self, state: State, known: bool = True) -> int:
         """known: another path may have led to the state before."""

@@ -64,6 +64,32 @@ def test_the_transducer_counts_as_the_library_does(library, sf_dir, monkeypatch)
         assert [sum(map(machine.count, (t or "").encode().split())) for t in texts] == want
 
 
+def test_pieces_count_as_the_library_does(library, sf_dir, monkeypatch):
+    rng = random.Random(6)
+    latin = [chr(c) for c in range(0x21, 0x190)]
+    texts = [a + b + "e" for a in ("", "x", "'", "1") for b in latin] + ["".join(rng.choices(latin, k=rng.randint(1, 9))) for _ in range(3000)]
+    texts += ["".join(rng.choices("abcdeinorst", k=rng.randint(1, 256))) for _ in range(500)]
+    texts += ["Größe" * k + tail for k in (1, 36, 37, 90) for tail in ("", ".", "<|endoftext|>", "<|endoftext|", "ß<|startoftext|>é")]
+    texts += pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()[:300]
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for most in (10**6, 40):  # states, pairs and pieces are forgotten again and again
+        monkeypatch.setattr(transducer, "MAX_STATES", most)
+        monkeypatch.setattr(transducer, "MAX_PAIRS", most)
+        monkeypatch.setattr(tokens, "MAX_PIECES", most)
+        machine = ChunkScan(WordCounts(PATH).__getitem__)
+        assert [machine.total((t or "").encode()) for t in texts] == want
+
+
+def test_a_piece_is_counted_once_whatever_stands_beside_it(library):
+    table, seen = WordCounts(PATH), []
+    whole, piece = table.machine.count, table.machine.piece
+    table.machine.count = lambda word: seen.append(word) or whole(word)
+    table.machine.piece = lambda p: seen.append(p) or piece(p)
+    words = ("undschkeit", "Undschkeit.", "(undschkeit)", "undschkeit,ocióna", "Ocióna.")
+    assert [table[w.encode()] for w in words] == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert [x.decode() for x in seen] == ["undschkeit", ".", "(", ")", ",", "ocióna"]
+
+
 def test_chunk_maps_compose_wherever_cut(library):
     machine = ChunkScan(WordCounts(PATH).__getitem__)
     for t in [r[1] or "" for r in AWKWARD if len(r[1] or "") < 2000]:
